@@ -7,11 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import encoding, packing, shared, tokenfile
+from frostline.llm import encoding, langid, minhash, packing, shared, simhash, tokenfile
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_edited(shared.table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(shared.table(spark, sf_dir, "documents"), distance=4, words=4)
+    return found.withColumn("fingerprint", simhash.hexadecimal("fingerprint"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(shared.table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=0)
 
@@ -25,8 +34,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, tokenfile.write(shared.table(spark, sf_dir, "documents"), folder, TOKENIZER, end_id=2))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_bpe, op8_token_files)}
+    return {f.__name__: f for f in (op1_minhash, op2_simhash, op5_best_fit_packing, op6_bpe, op8_token_files, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
