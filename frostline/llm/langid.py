@@ -24,6 +24,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,3 +215,18 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
     shared.batched(docs.sparkSession)
     two = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, bits double")
+
+
+def identified(docs: DataFrame, samples: dict[str, str], name: str, text_col: str = "text") -> DataFrame:
+    """`docs` with a column `name` of lang_pred, score, bits; all columns stay, without a shuffle."""
+    known = tuple(sorted(samples.items()))
+
+    @F.pandas_udf("lang_pred string, score double, bits double")
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = _model(known)
+        for texts in parts:
+            names, score, bits = model.predict([t or "" for t in texts])
+            yield pd.DataFrame({"lang_pred": names, "score": score, "bits": bits})
+
+    shared.batched(docs.sparkSession)
+    return docs.withColumn(name, predict(F.col(text_col).cast("string")))
