@@ -41,7 +41,7 @@ def number(column: Column, kind: T.DataType, index: str) -> Column:
 def rendered(text: Column, index: str | None) -> Column:
     """A stored value, given as its key, as a piece of JSON, its type taken from its looks: true, false,
     numbers (not those with leading zeros: postal codes stay text), else text. Ranges accept any number."""
-    quoted = F.to_json(F.array(text))
+    quoted = F.when(text.isNotNull(), F.to_json(F.array(text)))
     quoted = F.regexp_replace(quoted, r"(?s)^\[(.*)\]$", "$1")
     bare = F.trim(text)
     whole = bare.rlike(r"^[+-]?\d{1,19}$") & bare.try_cast("bigint").isNotNull()
