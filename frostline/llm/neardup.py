@@ -123,7 +123,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = F.struct(F.col("id").isNull(), "id", "key")
     signed = shared.written(signatures(docs, id_col, text_col), "signatures")
     stay = groups(signed).groupBy("group").agg(F.min(order).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.key").alias("_key"))
-    kept = docs.join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left_semi")
+    row = docs.select(F.struct("*").alias("_row"))  # whatever the columns are called, they don't clash below
+    same = F.col("_row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row")[text_col]) == F.col("_key"))
+    kept = row.join(stay.hint("shuffle_hash"), same, "left_semi").select("_row.*")
     if signed.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_col, text_col])

@@ -234,24 +234,29 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with surrogates in its text, and n_entities (mentions replaced) and kinds (sorted, by commas)."""
-    text = F.col(text_col)
-    own = [c for c in docs.columns if c not in (text_col, "n_entities", "kinds")]
+    """`docs` with surrogates in its text, and n_entities (mentions replaced) and kinds (sorted, by commas), which
+    take the place of columns of these names."""
+    row = docs.select(F.struct("*").alias("_row"))  # whatever the columns are called, they don't clash below
+    id_, text = F.col("_row")[id_col], F.col("_row")[text_col]
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in (text_col, "n_entities", "kinds")]
     guarded = F.coalesce(text.rlike(GUARD), F.lit(False))
-    some = docs.where(guarded)
-    found = shared.written(some.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), F.explode(F.array_distinct(mentions(text))).alias("mention")), "found")
-    of_doc = found.join(replacements(found, key), "mention").groupBy("_id", "_key").agg(F.map_from_entries(F.collect_set(F.struct("mention", F.struct("replacement", "kind")))).alias("_new"))  # of one text
-    joined = some.join(of_doc.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    some = row.where(guarded)
+    found = shared.written(some.select(id_.alias("_id"), F.xxhash64(text).alias("_key"), F.explode(F.array_distinct(mentions(text))).alias("mention")), "found")
+    new = F.map_from_entries(F.collect_set(F.struct("mention", F.struct("replacement", "kind"))))  # of one text
+    of_doc = found.join(replacements(found, key), "mention").groupBy("_id", "_key").agg(new.alias("_new"))
+    joined = some.join(of_doc.hint("shuffle_hash"), id_.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     joined = joined.withColumn("_parts", F.when(F.col("_new").isNotNull(), pieces(text)))
 
     def put(p: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, p).when(p == "", F.lit(MARK)).otherwise(F.coalesce(F.try_element_at("_new", p)["replacement"], p))
 
     hits = F.filter("_parts", lambda p, i: (i % 2 == 1) & F.try_element_at("_new", p).isNotNull())
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(F.map_values("_new"), lambda x: x["kind"]))), ",")
     changed = joined.select(
-        *own,
-        F.when(F.col("_new").isNull(), text).otherwise(F.array_join(F.transform("_parts", put), "")).alias(text_col),
-        F.coalesce(F.when(F.col("_new").isNotNull(), F.size(hits)), F.lit(0)).cast("long").alias("n_entities"),
-        F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(F.map_values("_new"), lambda x: x["kind"]))), ","), F.lit("")).alias("kinds"),
+        "_row",
+        F.when(F.col("_new").isNull(), text).otherwise(F.array_join(F.transform("_parts", put), "")).alias("_text"),
+        F.coalesce(F.when(F.col("_new").isNotNull(), F.size(hits)), F.lit(0)).cast("long").alias("_n"),
+        F.coalesce(kinds, F.lit("")).alias("_kinds"),
     )
-    return docs.where(~guarded).select(*own, text, F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds")).unionByName(changed)
+    both = row.where(~guarded).select("_row", text.alias("_text"), F.lit(0).cast("long").alias("_n"), F.lit("").alias("_kinds")).union(changed)
+    return both.select(*own, F.col("_text").alias(text_col), F.col("_n").alias("n_entities"), F.col("_kinds").alias("kinds"))

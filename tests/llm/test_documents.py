@@ -1,0 +1,289 @@
+"""Fingerprints, near copies, line dedup, surrogates, licenses and languages against plain code."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from frostline.llm import components, langid, licenses, linededup, minhash, neardup, pii, simhash
+from frostline.llm.queries import op1_minhash, op2_simhash, op9_licenses, op10_language
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text: str) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+
+
+def shingles(text: str, n: int) -> list[str]:
+    w = words(text)
+    return [" ".join(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)]
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = set(shingles(a, 5)), set(shingles(b, 5))
+    return len(x & y) / len(x | y)
+
+
+def test_op1(spark, clean_dir: str, clean_rows: list[tuple]) -> None:  # noqa: ANN001
+    got = {r.doc_id: r for r in op1_minhash(spark, clean_dir).collect()}
+    assert len(got) == len(clean_rows)
+    errors, prints = [], {}
+    for k, (doc, text, _) in enumerate(clean_rows):
+        after = clean_rows[(k + 1) % len(clean_rows)][1]
+        q, r = len(text) // 4, got[doc]
+        edited = text[: len(text) - q] + after[:q]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        errors += [jaccard(text, edited) - r.near_edited, jaccard(text, after) - r.near_next]
+        assert prints.setdefault(text, r.fingerprint) == r.fingerprint
+    assert np.sqrt(np.mean(np.square(errors))) < 0.04 and np.abs(errors).max() < 0.15
+
+
+def test_minhash_of_messy_rows(messy, empty, spark) -> None:  # noqa: ANN001
+    got = minhash.with_edited(messy).collect()
+    assert len(got) == messy.count() and all(len(r.fingerprint) == 2 * minhash.BINS for r in got)
+    assert minhash.with_edited(empty).collect() == [] and minhash.fingerprint(messy).count() == messy.count()
+    alone = minhash.with_edited(spark.createDataFrame([(5, "abcdefgh")], "doc_id bigint, text string")).first()
+    assert alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and alone.near_next == 1.0
+
+
+def test_densified_minima_estimate_similarity() -> None:
+    rng = random.Random(1)
+    for n, share in ((30, 0.5), (400, 0.8), (2000, 0.3)):
+        common = [f"w{rng.random()}" for _ in range(int(n * share))]
+        a, b = ([f"{k}x{rng.random()}" for _ in range(n - len(common))] for k in "ab")
+        texts = [" ".join(common + x).encode() for x in (a, b)]
+        p = minhash.fingerprints(texts)
+        assert abs(minhash.likeness(p[:1], p[1:])[0] - jaccard(*(t.decode() for t in texts))) < 0.15
+
+
+def simhash_of(text: str, n: int = 4) -> int:
+    if not words(text):
+        return 0
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, n)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_op2(spark, clean_dir: str, clean_rows: list[tuple]) -> None:  # noqa: ANN001
+    got = {r.doc_id: r for r in op2_simhash(spark, clean_dir).collect()}
+    bits = {d: simhash_of(t) for d, t, _ in clean_rows}
+    least = {d: d for d in bits}
+    while True:
+        new = {d: min(least[e] for e in bits if (bits[d] ^ bits[e]).bit_count() <= 4) for d in bits}
+        if new == least:
+            break
+        least = new
+    for d in bits:
+        assert (got[d].fingerprint, got[d].component_id) == (f"{bits[d]:016x}", least[d])
+
+
+def test_simhash_of_messy_rows(messy, empty) -> None:  # noqa: ANN001
+    rows = simhash.groups(messy).collect()
+    assert len(rows) == messy.count() and simhash.groups(empty).collect() == []
+    assert len({r.component_id for r in rows if r.fingerprint == 0}) == 1
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch: pytest.MonkeyPatch) -> None:  # noqa: ANN001
+    """Chains of fingerprints around few centres, so that buckets are dealt into chunks."""
+    rng = np.random.default_rng(4)
+    bits = set()
+    for centre in rng.integers(0, 2**63, 3, np.uint64):
+        at = int(centre)
+        for _ in range(150):
+            at ^= 1 << int(rng.integers(64)) if rng.random() < 0.7 else 0b111 << int(rng.integers(60))
+            bits.add(at)
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "JOINED", 4)
+    signed = sorted(b - (1 << 64) if b >> 63 else b for b in bits)
+    found = components.components(simhash.links(spark.createDataFrame([(b,) for b in signed], "fingerprint long"), 4))
+    got = {r.node: r.component for r in found.collect()}
+    least = {b: b for b in signed}
+    while True:
+        new = {a: min(least[b] for b in signed if ((a ^ b) & (2**64 - 1)).bit_count() <= 4) for a in signed}
+        if new == least:
+            break
+        least = new
+    assert all(got.get(b, b) == least[b] for b in signed)
+
+
+def test_components(spark) -> None:  # noqa: ANN001
+    edges = [(k, k + 1) for k in range(1, 40)] + [(100, 90), (90, 100), (90, 95), (7, 7), (None, 3), (200, 200)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 41)} | {90: 90, 95: 90, 100: 90}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_near_copies(clean, clean_rows: list[tuple], messy, empty) -> None:  # noqa: ANN001
+    kept = {r.doc_id for r in neardup.keep_one(clean).collect()}
+    texts = {d: t for d, t, _ in clean_rows}
+    link = {d: {e for e in texts if jaccard(texts[d], texts[e]) >= 0.8} for d in texts}
+    for d in texts:
+        if link[d] == {d}:
+            assert d in kept
+        elif min(link[d]) == d and all(link[e] == link[d] for e in link[d]):
+            assert kept & link[d] == {d}
+    rows = neardup.keep_one(messy)
+    assert rows.columns == messy.columns and rows.where("doc_id = 123").count() <= 1 and rows.where("doc_id = 122").count() == 2
+    assert neardup.keep_one(empty).collect() == []
+
+
+def test_large_bands_lose_no_link(spark, monkeypatch: pytest.MonkeyPatch) -> None:  # noqa: ANN001
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(neardup, "JOINED", 4)
+    monkeypatch.setattr(neardup, "CHUNK", 32)
+    assert [r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
+
+
+def test_line_dedup_equals_its_sql(clean, clean_rows: list[tuple]) -> None:  # noqa: ANN001
+    con = duckdb.connect()
+    con.register("documents", clean.select("doc_id", "text").toArrow())
+    want = {r[0]: r[1:] for r in con.execute(linededup.SQL).fetchall()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.dedup(clean.select("doc_id", "text")).collect()}
+    assert got == want
+    assert sum(n for _, _, n in got.values()) > 400
+
+
+def test_line_dedup_of_messy_rows(messy, empty, spark) -> None:  # noqa: ANN001
+    rows = linededup.dedup(messy).collect()
+    assert len(rows) == messy.count() and len({r.text for r in rows if r.doc_id == 123}) == 1
+    assert linededup.dedup(empty).collect() == []
+    small = [(1, "a\nb\nc\nd"), (2, "x\n b \n\nc\t\nd\r\ny"), (3, "a\nb"), (4, "q\nq\nq\nq\nq"), (None, "n\no\np"), (5, "n\no\np\n")]
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(small, "doc_id bigint, text string")).collect()}
+    assert got == {1: "a\nb\nc\nd", 2: "x\ny", 3: "a\nb", 4: "q", None: "n\no\np", 5: ""}
+
+
+def test_surrogates(messy, empty) -> None:  # noqa: ANN001
+    before = {r.doc_id: r.text for r in messy.where("doc_id < 100").collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(messy, "k").where("doc_id < 100").collect()}
+    assert all(rows[k].text == before[k] and rows[k].n_entities == 0 for k in range(85))
+    mail, cards, secrets, names, odd = (rows[k].text for k in range(85, 90))
+    a, b = re.findall(r"[\w.+]+@[\w.]+", mail)
+    assert a.upper() == b and a.endswith(".example") and re.fullmatch(r"[a-z]{2}\.[a-z]{5}\+[a-z]@[a-z]{4}\.[a-z]{7}\.example", a)
+    p, q = re.findall(r"\+1[ -][()\d -]+\d", mail)
+    assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q) != "19795555854" and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p)
+    spaced, plain = re.search(r"card (\S+ \S+ \S+ \S+) and (\d+),", cards).groups()
+    assert spaced.replace(" ", "") == plain != "4111111111111111" and plain[0] == "4"
+    digits = [int(c) for c in plain][::-1]
+    assert (sum(digits[0::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    assert "not 4111111111111112" in cards and "1.2.3.4.5" in cards and "999.1.1.1" in cards and "10.1.2.3" not in cards
+    assert re.search(r'token = "[0-9a-f]{40}" password=[0-9a-f]{18} AKIA[0-9A-Z]{16} ssn 9\d\d-\d\d-\d{4}$', secrets)
+    assert not any(x in secrets for x in ("0641917ea4", "e3b3ed3cc8", "MD62HKU6", "123-45-6789"))
+    john = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+) and Ms (\w+); Г-жа (\w+) (\w+), Herr (\w+), Maria alone, DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d$", names)
+    assert john and john[2] == john[5] != "Smith" and john[1] in pii.GIVEN["m", "latin"] and john[3] in pii.GIVEN["f", "latin"] and john[6] in pii.GIVEN["f", "cyrillic"] and john[7].endswith("ова")
+    assert odd.startswith("odd ￾ mark ￾￾ ") and a + "￾" in odd and p in odd and plain in odd
+    assert rows[85].n_entities == 4 and rows[85].kinds == "email,phone"
+    assert pii.pseudonymise(empty, "k").collect() == [] and pii.pseudonymise(messy, "k").count() == messy.count()
+    assert pii.pseudonymise(messy, "k").columns == [*(c for c in messy.columns if c != "text"), "text", "n_entities", "kinds"]
+
+
+def test_surrogates_differ(spark) -> None:  # noqa: ANN001
+    """Small spaces are used up: given names by the dozen, short e-mail addresses."""
+    men = [(k, f"Mr {chr(65 + k % 26)}{chr(97 + k // 26)}o{chr(97 + k % 7)} Smith") for k in range(150)]
+    mails = [(k + 500, f"{chr(97 + k)}@b.c") for k in range(26)]
+    got = pii.pseudonymise(spark.createDataFrame(men + mails, "doc_id bigint, text string"), "k").collect()
+    assert len({r.text for r in got if r.doc_id < 500}) == len({t for _, t in men}) and len({r.text for r in got if r.doc_id >= 500}) == 26
+    assert len({r.text.split()[2] for r in got if r.doc_id < 500}) == 1
+    real = {t.split()[1] for _, t in men}
+    assert not real & {r.text.split()[1] for r in got if r.doc_id < 500}
+
+
+def test_op9_equals_its_sql(spark, clean, clean_dir: str) -> None:  # noqa: ANN001
+    con = duckdb.connect()
+    con.register("documents", clean.select("doc_id", "text").toArrow())
+    want = con.execute(licenses.sql())
+    names = [c[0] for c in want.description]
+    expected = {r[0]: dict(zip(names, r, strict=True)) for r in want.fetchall()}
+    got = {r.doc_id: r.asDict() for r in op9_licenses(spark, clean_dir).collect()}
+    assert got == expected
+    assert [got[k]["labels"] for k in range(90, 95)] == ["mit", "apache-2", "cc-by-nc", "gpl", "bsd"] and (got[90]["n_base"], got[90]["first_word"], got[90]["last_word"]) == (2, 1, 5)
+
+
+def test_licenses_of_messy_rows(messy, empty) -> None:  # noqa: ANN001
+    assert licenses.scan(messy).count() == messy.count() and licenses.scan(empty).collect() == []
+
+
+def test_containment_is_exact(spark) -> None:  # noqa: ANN001
+    """Every prefix of every template, whole and with other words between, is found from its threshold on."""
+    rows, want = [], {}
+    for label, lines, own in licenses.template_words():
+        for n in range(len(own) + 1):
+            key = len(rows)
+            block = [w for k, w in enumerate(own[:n]) for w in ([w, f"zz{k}"] if n % 2 else [w])]
+            rows.append((key, " ".join(block) if lines or n % 3 else "\n".join(block)))
+            want[key] = n >= licenses.needed(len(own)) and (not lines or True), label
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for key, (hit, label) in want.items():
+        if hit:
+            assert label in got[key]
+
+
+def longest_phrases(text: list[int], sample: list[int]) -> int:
+    joined, count, at = ",".join(map(str, sample)) + ",", 0, 0
+    joined = "," + joined
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and "," + ",".join(map(str, text[at : at + n + 1])) + "," in joined:
+            n += 1
+        at, count = at + n, count + 1
+    return count
+
+
+def test_cross_parsing_is_exact() -> None:
+    model = langid.Model({"de": " ".join(t for t in ("der schein ungich bericht ver über ein " * 3).split()), "fr": "le eau oique tion édele eau que " * 4})
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("der schin ugbveraéàoq .1\n") for _ in range(rng.randint(1, 900))) for _ in range(30)] + ["d" * 2000]
+    got = model.entropies(texts)
+    for k, name in enumerate(model.languages):
+        sample = model.symbols({"de": "der schein ungich bericht ver über ein " * 3, "fr": "le eau oique tion édele eau que " * 4}[name]).tolist() if name == "fr" else model.symbols(" ".join(("der schein ungich bericht ver über ein " * 3).split())).tolist()
+        for text, e in zip(texts, got[:, k], strict=True):
+            symbols = model.symbols(text).tolist()
+            assert round(e * len(symbols) / model.bits[k]) == longest_phrases(symbols, sample)
+
+
+def test_op10(spark, clean_dir: str, clean_rows: list[tuple]) -> None:  # noqa: ANN001
+    got = {r.doc_id: r for r in op10_language(spark, clean_dir).collect()}
+    assert len(got) == len(clean_rows)
+    right = Counter()
+    for doc, text, lang in clean_rows:
+        assert got[doc].held_out == (zlib.crc32(str(doc).encode()) % 5 == 0) and 0 <= got[doc].score <= 1
+        assert (got[doc].lang_pred == "und") == (not any(c.isalpha() for c in text))
+        if got[doc].held_out and doc < 85:
+            right[got[doc].lang_pred == lang] += 1
+    assert right[True] >= 0.9 * sum(right.values()) > 0
+
+
+def test_language_of_messy_rows(messy, empty, spark) -> None:  # noqa: ANN001
+    samples = langid.learn(messy)
+    assert set(samples) == {"en", "de", "fr"} and langid.identify(messy, samples).count() == messy.count()
+    assert langid.learn(empty) == {} and langid.identify(empty, {}).collect() == []
+    assert {r.lang_pred for r in langid.identify(messy, {}).collect()} == {"und"}
+    one = langid.identify(messy, {"en": samples["en"]}).where(F.col("doc_id") == 1).first()
+    assert (one.lang_pred, one.score) == ("en", 1.0)
+    unlabelled = spark.createDataFrame([(1, None, None), (2, "abc", None)], "doc_id bigint, text string, lang string")
+    assert langid.learn(unlabelled) == {}
+
+
+def test_groups_of_links() -> None:
+    prints = np.zeros((5, minhash.BINS), np.uint8)
+    prints[3:] = np.arange(minhash.BINS, dtype=np.uint8)
+    a, b = neardup.forest(prints)
+    tree = defaultdict(set)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        tree[x].add(y)
+    assert dict(tree) == {0: {1, 2}, 3: {4}}
