@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.functions import geo, textnorm, values
-from frostline.operators import indexes
+from frostline.operators import indexes, sets
 from frostline.plans import render
 from frostline.plans.catalog import Collection
-from frostline.plans.search import matches, search
+from frostline.plans.search import matches, nearest, search
 from frostline.plans.stage import POINT, POLYGON, Staged, derived, stage
 from frostline.sources import readers
 from frostline.sources.profile import Index, Profile
@@ -159,6 +159,24 @@ def _bitmap(spark: SparkSession, sf: str) -> DataFrame:
     return indexes.values(staged(spark, sf, "orders").rows, "o_orderpriority").select("value", "n", F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"))
 
 
+@add("idx_primary", "SELECT o_custkey::VARCHAR AS key, max(id) AS id FROM (SELECT *, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS id FROM orders) GROUP BY o_custkey")
+def _primary(spark: SparkSession, sf: str) -> DataFrame:
+    return indexes.primary(staged(spark, sf, "by_customer").rows)
+
+
+NUMBERED = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) AS id FROM orders)"
+
+
+@add("set_operations", f"SELECT 'union' AS operation, count(*) AS n, sum(id)::BIGINT AS ids FROM {NUMBERED} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') UNION ALL SELECT 'intersection', count(*), sum(id)::BIGINT FROM {NUMBERED} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' UNION ALL SELECT 'difference', count(*), sum(id)::BIGINT FROM {NUMBERED} WHERE o_orderpriority <> '1-URGENT' UNION ALL SELECT 'universe', count(*), sum(id)::BIGINT FROM {NUMBERED}")
+def _sets(spark: SparkSession, sf: str) -> DataFrame:
+    s = staged(spark, sf, "orders").rows
+    by_priority, by_status = indexes.values(s, "o_orderpriority"), indexes.values(s, "o_orderstatus")
+    urgent = sets.holding(by_priority, "1-URGENT")
+    found = {"union": sets.union(urgent, sets.holding(by_priority, "2-HIGH")), "intersection": sets.intersection(urgent, sets.holding(by_status, "F")), "difference": sets.difference(sets.universe(s), urgent), "universe": sets.universe(s)}
+    parts = [d.agg(F.count("*").alias("n"), F.sum("_doc_id").alias("ids")).select(F.lit(name).alias("operation"), "n", "ids") for name, d in found.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
 QUANTILES = "(SELECT list_transform(quantile_cont(o_totalprice, [" + ", ".join(f"{p}" for p in indexes.probabilities(20)) + "]), lambda x: x) AS b FROM orders)"
 
 
@@ -213,6 +231,12 @@ def _nearest(spark: SparkSession, sf: str) -> DataFrame:
     return _with_distance(search(staged(spark, sf, "customer"), lat=CENTRE[0], lon=CENTRE[1], top_n=10).withColumnRenamed("_doc_id", "id"), "id", "c_custkey")
 
 
+@add("geo_knn_pruned", f"SELECT id, c_custkey, round({NEAR}, 3) AS distance FROM {PLACED} WHERE c_mktsegment <> 'BUILDING' ORDER BY {NEAR}, id LIMIT 20")
+def _nearest_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    found = nearest(staged(spark, sf, "customer"), *CENTRE, 20, filter_by="c_mktsegment:!=BUILDING")
+    return _with_distance(found.withColumnRenamed("_doc_id", "id"), "id", "c_custkey")
+
+
 @add("geo_bbox", f"SELECT c_custkey, c_name FROM {PLACED} WHERE lat BETWEEN 48.82 AND 48.85 AND lon BETWEEN 2.3 AND 2.35")
 def _box(spark: SparkSession, sf: str) -> DataFrame:
     return matches(rows(spark, sf, "customer"), min_lat=48.82, max_lat=48.85, min_lon=2.3, max_lon=2.35)[0].select("c_custkey", "c_name")

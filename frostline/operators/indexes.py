@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LISTED_RANGES = 2000
+
+
 def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     """The rows dealt out by ranges of the order and sorted, with the number of the range (_part) and the place
     in it (_at). Ranges come from a random sample, so write the result before reading it twice."""
@@ -23,8 +26,13 @@ def bases(table: DataFrame) -> list[int]:
 
 
 def dense_ids(table: DataFrame, before: list[int], name: str = "_doc_id") -> DataFrame:
-    """Ids 1, 2, ... in the order of a written placed() table."""
-    return table.withColumn(name, F.element_at(F.array(*(F.lit(b).cast("long") for b in before)), F.col("_part") + 1) + F.col("_at") + 1)
+    """Ids 1, 2, ... in the order of a written placed() table. `before` has a number per range: few are written
+    into the plan, many are joined as a broadcast of a row per range."""
+    place = F.col("_at") + 1
+    if len(before) <= LISTED_RANGES:
+        return table.withColumn(name, F.element_at(F.array(*(F.lit(b).cast("long") for b in before)), F.col("_part") + 1) + place)
+    listed = table.sparkSession.createDataFrame(list(enumerate(before)), "_part int, _before long")
+    return table.join(F.broadcast(listed), "_part").withColumn(name, F.col("_before") + place).drop("_before")
 
 
 def postings(staged: DataFrame, fields: list[str]) -> DataFrame:
@@ -36,6 +44,11 @@ def postings(staged: DataFrame, fields: list[str]) -> DataFrame:
     return out.groupBy("field", "term").agg(F.sort_array(F.collect_list("_doc_id")).alias("ids"))
 
 
+def primary(staged: DataFrame) -> DataFrame:
+    """key, id: of documents with one primary key the last; null keys have no entry."""
+    return staged.where(F.col("_pk").isNotNull()).groupBy(F.col("_pk").alias("key")).agg(F.max("_doc_id").alias("id"))
+
+
 def values(staged: DataFrame, field: str) -> DataFrame:
     """value, ids (sorted), n of an exact-match index; nulls have none."""
     key = F.col(f"`_key_{field}`")

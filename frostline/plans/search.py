@@ -71,3 +71,18 @@ def search(staged: Staged, group_by: str | None = None, top_n: Number = None, **
         rows = rows.where(F.lit(False))
     place = [geo.latitude(F.col("_ez")).alias("_latitude"), geo.longitude(F.col("_ex"), F.col("_ey")).alias("_longitude")] if staged.geometry not in (None, POLYGON) else []
     return rows.select("_doc_id", *(F.col(f"`{c}`") for c in p.columns), "__distance", *place)
+
+
+def nearest(staged: Staged, lat: float, lon: float, top_n: int, start: float = 500.0, **conditions: Number) -> DataFrame:
+    """search() for the nearest points, for large written tables: the radius doubles until it holds enough rows
+    that meet the conditions, which are then all that the final search looks at, so that most row groups
+    are never read. The rows are those of search(); each step is a job that stops at top_n rows."""
+    if staged.geometry in (None, POLYGON) or top_n < 1:
+        return search(staged, lat=lat, lon=lon, top_n=top_n, **conditions)
+    radius = start
+    while radius < 2 * geo.RADIUS:
+        within, _ = matches(staged, lat=lat, lon=lon, radius=radius, **conditions)
+        if within.select("_ex").limit(top_n).count() == top_n:
+            return search(staged, lat=lat, lon=lon, radius=radius, top_n=top_n, **conditions)
+        radius *= 2
+    return search(staged, lat=lat, lon=lon, top_n=top_n, **conditions)
