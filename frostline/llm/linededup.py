@@ -24,20 +24,26 @@ WINDOW = 3
 def windows(lines: Column) -> Column:
     """(first, last, hash) of each window of an array of lines; first and last are places in the array."""
     solid = F.filter(F.transform(lines, lambda line, i: F.struct(F.btrim(line, F.lit(" \t\r")).alias("line"), i.alias("at"))), lambda x: x["line"] != "")
-    n = F.size(solid)
 
-    def window(i: Column) -> Column:
-        part = [F.element_at(solid, i + k) for k in range(1, WINDOW + 1)]
-        return F.struct(part[0]["at"].alias("first"), part[-1]["at"].alias("last"), F.unhex(F.md5(F.concat_ws("\n", *(p["line"] for p in part)).cast("binary"))).alias("hash"))
+    def all_of(solid: Column) -> Column:
+        n = F.size(solid)
 
-    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), window))
+        def window(i: Column) -> Column:
+            part = [F.element_at(solid, i + k) for k in range(1, WINDOW + 1)]
+            return F.struct(part[0]["at"].alias("first"), part[-1]["at"].alias("last"), F.unhex(F.md5(F.concat_ws("\n", *(p["line"] for p in part)).cast("binary"))).alias("hash"))
+
+        return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), window))
+
+    return shared.let(solid, all_of)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with its text less the repeated passages, and n_lines, n_removed (lines, blank ones included)."""
-    text = F.col(text_col)
+    """`docs` with its text less the repeated passages, and n_lines, n_removed (lines, blank ones included), which
+    take the place of columns of these names."""
+    row = docs.select(F.struct("*").alias("_row"))  # whatever the columns are called, they don't clash below
+    id_, text = F.col("_row")[id_col], F.col("_row")[text_col]
     lines = F.split(text, "\n", -1)
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.explode(windows(lines)).alias("w")).select("id", "key", "w.*")
+    keyed = row.select(id_.alias("id"), F.xxhash64(text).alias("key"), F.explode(windows(lines)).alias("w")).select("id", "key", "w.*")
     found = shared.written(keyed, "windows")
     place = F.struct("id", "key", "first")
     # how often a window stands somewhere and where first: partial minima and counts come before the shuffle
@@ -45,16 +51,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     later = found.join(repeated, "hash").where(~place.eqNullSafe(F.col("origin")))
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))
     cuts = later.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(covered.alias("_cut"))  # within one document
+    joined = row.join(cuts.hint("shuffle_hash"), id_.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    joined = docs.join(cuts.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
-    return joined.select(
-        *own,
-        F.when(F.col("_cut").isNull(), text).otherwise(cut).alias(text_col),
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_removed"),
+    cut = shared.let(lines, lambda own: F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n"))
+    done = joined.select(
+        "_row",
+        F.when(F.col("_cut").isNull(), text).otherwise(cut).alias("_text"),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_lines"),
+        F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("_removed"),
     )
+    own = (F.col("_row")[c].alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed"))
+    return done.select(*own, F.col("_text").alias(text_col), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
 
 
 #: The same by DuckDB, over the table documents.
