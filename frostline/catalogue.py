@@ -151,12 +151,14 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
 @add("idx_postings", f"SELECT term, count(*) AS n, min(id) AS first_id, max(id) AS last_id, sum(id)::BIGINT AS sum_ids FROM (SELECT unnest(tokens) AS term, id FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS id FROM {TOKENISED})) GROUP BY term")
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
     found = indexes.postings(staged(spark, sf, "documents").rows, ["text"])
-    return found.select("term", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b).alias("sum_ids"))
+    total = F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b))
+    return found.groupBy("term").agg(F.sum(F.size("ids")).alias("n"), F.min(F.array_min("ids")).alias("first_id"), F.max(F.array_max("ids")).alias("last_id"), total.alias("sum_ids"))
 
 
 @add("idx_bitmap", "SELECT o_orderpriority AS value, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS id FROM orders) GROUP BY o_orderpriority")
 def _bitmap(spark: SparkSession, sf: str) -> DataFrame:
-    return indexes.values(staged(spark, sf, "orders").rows, "o_orderpriority").select("value", "n", F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"))
+    found = indexes.values(staged(spark, sf, "orders").rows, "o_orderpriority")
+    return found.groupBy("value").agg(F.sum(F.size("ids")).alias("n"), F.min(F.array_min("ids")).alias("first_id"), F.max(F.array_max("ids")).alias("last_id"))
 
 
 @add("idx_primary", "SELECT o_custkey::VARCHAR AS key, max(id) AS id FROM (SELECT *, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS id FROM orders) GROUP BY o_custkey")
@@ -182,8 +184,8 @@ QUANTILES = "(SELECT list_transform(quantile_cont(o_totalprice, [" + ", ".join(f
 
 @add("idx_quantiles", f"SELECT unnest(generate_series(1, 19))::INTEGER AS number, round(unnest(b), 4) AS boundary FROM {QUANTILES}")
 def _quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    p = F.array(*map(F.lit, indexes.probabilities(20)))
-    return rows(spark, sf, "orders").rows.agg(F.percentile("_num_o_totalprice", p).alias("b")).select(F.posexplode("b").alias("k", "x")).select((F.col("k") + 1).alias("number"), F.round("x", 4).alias("boundary"))
+    found = indexes.boundaries(rows(spark, sf, "orders").rows, "o_totalprice", 20)
+    return spark.createDataFrame([(k, round(b, 4)) for k, b in enumerate(found, 1)], "number int, boundary double")
 
 
 @add("idx_bins", "SELECT bin, count(*) AS n FROM (SELECT len(list_filter(b, lambda x: x < value))::INTEGER AS bin FROM events, (SELECT quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS b FROM events)) GROUP BY bin")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frostline import storage
 
-LISTED_RANGES = 2000
+
+#: Ranges that ids are looked up in by a literal; bits of ids in a block of an index table.
+LISTED_RANGES, BLOCK_BITS = 2000, 20
 
 
 def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -35,13 +39,19 @@ def dense_ids(table: DataFrame, before: list[int], name: str = "_doc_id") -> Dat
     return table.join(F.broadcast(listed), "_part").withColumn(name, F.col("_before") + place).drop("_before")
 
 
+def _gathered(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sorted ids by keys, in blocks of so many consecutive ids, so that a common key is never one array or one task."""
+    block = F.shiftright("_doc_id", BLOCK_BITS).alias("block")
+    return rows.groupBy(*keys, block).agg(F.sort_array(F.collect_list("_doc_id")).alias("ids"))
+
+
 def postings(staged: DataFrame, fields: list[str]) -> DataFrame:
-    """field, term, ids (sorted): the documents of each token."""
+    """field, term, block, ids: the documents of each token."""
     parts = [staged.select(F.lit(f).alias("field"), F.explode(f"`_tok_{f}`").alias("term"), "_doc_id") for f in fields]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.groupBy("field", "term").agg(F.sort_array(F.collect_list("_doc_id")).alias("ids"))
+    return _gathered(out, "field", "term")
 
 
 def primary(staged: DataFrame) -> DataFrame:
@@ -50,9 +60,9 @@ def primary(staged: DataFrame) -> DataFrame:
 
 
 def values(staged: DataFrame, field: str) -> DataFrame:
-    """value, ids (sorted), n of an exact-match index; nulls have none."""
+    """value, block, ids of an exact-match index; nulls have none."""
     key = F.col(f"`_key_{field}`")
-    return staged.where(key.isNotNull()).groupBy(key.alias("value")).agg(F.sort_array(F.collect_list("_doc_id")).alias("ids"), F.count("*").alias("n"))
+    return _gathered(staged.where(key.isNotNull()).select(key.alias("value"), "_doc_id"), "value")
 
 
 def probabilities(bins: int) -> list[float]:
@@ -61,11 +71,23 @@ def probabilities(bins: int) -> list[float]:
 
 
 def boundaries(staged: DataFrame, field: str, bins: int) -> list[float]:
-    """Exact quantiles by linear interpolation; one aggregation whose result has bins - 1 numbers."""
-    if bins < 2:
+    """Exact quantiles by linear interpolation. The values are sorted by ranges and written; a quantile is one or
+    two of them, found by range and place, so no task and no aggregate holds them all."""
+    wanted = probabilities(bins)
+    value = staged.select(F.col(f"`_num_{field}`").alias("value")).where("value IS NOT NULL")
+    table = storage.written(placed(value, [F.col("value")]), "quantiles")
+    before = bases(table)
+    n = before[-1]
+    if not n or not wanted:
         return []
-    found = staged.agg(F.percentile(f"`_num_{field}`", F.array(*map(F.lit, probabilities(bins)))).alias("b")).first()["b"]
-    return [] if found is None or found[0] is None else list(found)
+    at = {p: p * (n - 1) for p in wanted}
+    places = {}
+    for rank in {int(x) for x in at.values()} | {min(int(x) + 1, n - 1) for x in at.values()}:
+        part = bisect_right(before, rank) - 1
+        places[part, rank - before[part]] = rank
+    some = table.where(F.col("_part").isin(sorted({p for p, _ in places})) & F.col("_at").isin(sorted({k for _, k in places})))
+    got = {places[r["_part"], r["_at"]]: r["value"] for r in some.collect() if (r["_part"], r["_at"]) in places}
+    return [got[int(x)] + (x - int(x)) * (got[min(int(x) + 1, n - 1)] - got[int(x)]) for x in at.values()]
 
 
 def bin_of(value: Column, bounds: list[float]) -> Column:

@@ -27,7 +27,7 @@ def condition(query: str, profile: Profile) -> Column:
 
 
 def by_postings(staged: DataFrame, postings: DataFrame, query: str, profile: Profile) -> DataFrame:
-    """The same by the postings table (field, term, ids), sorted by field and term: prefixes are pushed down to
+    """The same by the postings table (field, term, block, ids), sorted by field and term: prefixes are pushed down to
     its scan, and the ids found are semi-joined, word after word."""
     counted = words(query, profile)
     if not counted:

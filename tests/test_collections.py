@@ -86,6 +86,7 @@ def test_bitmap_and_bins(spark) -> None:  # noqa: ANN001
     s = stage.stage(readers.source(spark, p.query), p)
     assert {r["value"]: r["ids"] for r in indexes.values(s.rows, "category").collect()} == {"A": [1, 3], "B": [2], "C": [4]}
     assert indexes.boundaries(s.rows, "id", 2) == [2.5] and indexes.boundaries(s.rows.where("id < 0"), "id", 4) == []
+    assert indexes.boundaries(s.rows, "id", 20)[4] == 1.75 and indexes.boundaries(s.rows.where("id = 3"), "id", 4) == [3.0] * 3
     assert [r[0] for r in s.rows.orderBy("id").select(indexes.bin_of(F.col("_num_id"), [2.0, 3.5])).collect()] == [0, 0, 1, 2]
 
 
