@@ -128,9 +128,7 @@ SQL_FUNCTIONS = {
     f"st_x(g {GEOMETRY})": ("DOUBLE", "g.parts[0][0][0].x"),
     f"st_y(g {GEOMETRY})": ("DOUBLE", "g.parts[0][0][0].y"),
     f"st_geometrytype(g {GEOMETRY})": ("STRING", "g.kind"),
-} | {f"st_{m}{axis}(g {GEOMETRY})": ("DOUBLE", f"array_{m}(transform(flatten(flatten(g.parts)), v -> v.{axis}))") for m in ("min", "max") for axis in "xy"}
-# the usual names put the axis first
-SQL_FUNCTIONS = {name.replace("st_minx", "st_xmin").replace("st_miny", "st_ymin").replace("st_maxx", "st_xmax").replace("st_maxy", "st_ymax"): body for name, body in SQL_FUNCTIONS.items()}
+} | {f"st_{axis}{m}(g {GEOMETRY})": ("DOUBLE", f"array_{m}(transform(flatten(flatten(g.parts)), v -> v.{axis}))") for m in ("min", "max") for axis in "xy"}
 
 
 def register(spark: SparkSession) -> None:

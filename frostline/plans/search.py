@@ -3,6 +3,7 @@ group or overall, by distance or id. One lazy DataFrame: conditions reach the sc
 
 from __future__ import annotations
 
+import logging
 import re
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from frostline.operators import filters, ranking, spatial, text
 from frostline.plans.stage import POLYGON, Staged
 
 Number = float | int | str | None
+log = logging.getLogger(__name__)
 
 
 def number(value: Number) -> float | None:
@@ -62,6 +64,7 @@ def search(staged: Staged, group_by: str | None = None, top_n: Number = None, **
     conditions of matches(): by distance or id, top_n of each group or of all. Grouping needs a bitmap
     index, or nothing is found."""
     p, limit = staged.profile, whole(top_n)
+    log.debug("%s: group_by=%s top_n=%s %s", p.collection, group_by, limit, conditions)
     rows, by_distance = matches(staged, **conditions, single=group_by is None)
     if group_by is None:
         rows = ranking.first(rows, by_distance, limit)
