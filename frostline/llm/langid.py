@@ -24,15 +24,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frostline.llm import shared
 
 FOLDS, SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 5, 100, 2_000, 40_000
-CHUNK, TOGETHER = 256, 1 << 20
+CHUNK, TOGETHER = 256, 1 << 19
 UNKNOWN = "und"
 STARTS, STATE = np.int32(-(2**31)), np.int32(2**31 - 1)
 
@@ -197,7 +197,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {k: s for k, s in samples.items() if any(map(str.isalpha, s))}
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(dict(samples))
 
@@ -217,16 +217,19 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
     return two.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, bits double")
 
 
-def identified(docs: DataFrame, samples: dict[str, str], name: str, text_col: str = "text") -> DataFrame:
-    """`docs` with a column `name` of lang_pred, score, bits; all columns stay, without a shuffle."""
+def identified(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
+    """row (a struct of all columns of `docs`) and found (lang_pred, score, bits) of each document, without a shuffle.
+    Rows pass through Python as they are, batch by batch, so nothing is held back for them."""
     known = tuple(sorted(samples.items()))
 
-    @F.pandas_udf("lang_pred string, score double, bits double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(known)
-        for texts in parts:
-            names, score, bits = model.predict([t or "" for t in texts])
-            yield pd.DataFrame({"lang_pred": names, "score": score, "bits": bits})
+        for batch in batches:
+            names, score, bits = model.predict([t or "" for t in batch.column("row").field(text_col).to_pylist()])
+            found = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(bits, mask=np.isnan(bits))], names=["lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), found], names=["row", "found"])
 
     shared.batched(docs.sparkSession)
-    return docs.withColumn(name, predict(F.col(text_col).cast("string")))
+    row = docs.select(F.struct("*").alias("row"))
+    out = T.StructType([*row.schema.fields, T.StructField("found", T.StructType.fromDDL("lang_pred string, score double, bits double"))])
+    return row.mapInArrow(run, out)
