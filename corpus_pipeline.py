@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 
 from frostline.llm import langid, linededup, neardup, packing, pii, queries, shared
 
-#: A text that needs more bits per symbol than this in its best language is in none of the learned ones.
-MOST_BITS = 6.0
+#: A text of so many characters or more that needs more bits per symbol than this in its best language is in
+#: none of the learned ones. Texts of a learned language need 2 to 4, short ones up to 6, random letters 9 to 11.
+LEAST_CHARS, MOST_BITS = 50, 8.0
 
 
 def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """`changed` with the columns of `docs`, n_chars counted anew where the text differs."""
-    return changed.select(*(F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    """`changed` with the columns of `docs`, n_chars counted anew."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    return changed.select(*(n.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or in none of the learned languages go; a null lang is filled."""
-    found = langid.identified(docs, langid.learn(docs), "_found")
-    kept = found.where((F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.bits") <= MOST_BITS))
-    return kept.select(*(F.coalesce("lang", "_found.lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    found = langid.identified(docs, langid.learn(docs))
+    fits = (F.col("found.bits") <= MOST_BITS) | (F.length("row.text") < LEAST_CHARS)
+    kept = found.where((F.col("found.lang_pred") != langid.UNKNOWN) & fits)
+    return kept.select(*(F.coalesce("row.lang", "found.lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return neardup.keep_one(docs).select(*docs.columns)
+    return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
