@@ -19,14 +19,15 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import regex
 
-#: Pieces that are kept, and the length over which they are not.
-KEPT_PIECES, KEPT_CHARS = 500_000, 64
+#: Pieces that are kept in each of two generations, and the length over which they are not.
+KEPT_PIECES, KEPT_CHARS = 180_000, 64
 
 #: The pattern of byte-level BPE, and the same with its classes spelt out for texts below U+0250.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -157,16 +158,22 @@ class Vocabulary:
 
 
 class PieceTable(dict):
-    """Pieces to their ids as little-endian unsigned 32-bit integers."""
+    """Pieces to their ids as little-endian unsigned 32-bit integers. Two generations bound it: when the new one
+    is full, it becomes the old one, whose pieces come back as they are met again."""
 
     def __init__(self, encode: Callable[[str], list[int]], special: dict[str, int], split: Callable[[str], list[str]] | None) -> None:
         super().__init__()
         self.encode, self.split, self.marks = encode, split, {k: np.uint32(i).tobytes() for k, i in special.items()}
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.encode(piece), "<u4").tobytes()
+        out = self.old.get(piece)
+        if out is None:
+            ids = self.encode(piece)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -178,19 +185,19 @@ class PieceTable(dict):
         return b"".join(map(self.__getitem__, pieces(text)))
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def own_encoder(path: str) -> PieceTable:
     """Encodes by the backtracking encoder of this module."""
     v = vocabulary(path)
     return PieceTable(v.encode_piece, v.special, v.split_special)
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def library_encoder(path: str) -> PieceTable:
     """Encodes each piece by the BPE model of the tokenizers library."""
     from tokenizers import Tokenizer

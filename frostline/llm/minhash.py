@@ -28,7 +28,7 @@ from frostline.llm import shared
 
 BINS, BITS, WORDS = 256, 8, 5
 #: Texts are hashed together up to so many bytes.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 FULL = np.uint64(2**64 - 1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -199,7 +199,7 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i, text, ahead in zip(batch.column(0).to_pylist(), shared.texts_of(batch), batch.column(2).to_pylist(), strict=True):
                 if ended:
                     break
-                if rows and (size >= 4 * TOGETHER or len(rows) >= shared.BATCH_ROWS or ahead):
+                if rows and (size >= 8 * TOGETHER or len(rows) >= shared.BATCH_ROWS or ahead):
                     yield made(rows, text)
                     rows, size = [], 0
                 ended = ahead

@@ -64,7 +64,8 @@ def band_links(nodes: DataFrame) -> DataFrame:
     """Links a, b between nodes (a written table: node, print, bands) that share a band and are alike."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    full = shared.written(keyed.join(sizes, ["band", "value"]), "bands")
+    # Spark takes exploded rows for as small as the table they come from; without the hint it may broadcast them
+    full = shared.written(keyed.hint("merge").join(sizes, ["band", "value"]), "bands")
     small = full.where(F.col("n") <= JOINED)
     pairs = small.alias("x").join(small.alias("y"), F.expr("x.band = y.band AND x.value = y.value AND x.node < y.node"))
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()

@@ -90,7 +90,8 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
     masks = F.array(*(F.lit(m) for m in block_masks(distance)))
     keyed = distinct.select("fingerprint", F.posexplode(masks).alias("two", "mask")).select("fingerprint", "two", F.expr("fingerprint & mask").alias("bits"))
     sizes = keyed.groupBy("two", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    full = shared.written(keyed.join(sizes, ["two", "bits"]), "buckets")
+    # Spark takes exploded rows for as small as the table they come from; without the hint it may broadcast them
+    full = shared.written(keyed.hint("merge").join(sizes, ["two", "bits"]), "buckets")
 
     small = full.where(F.col("n") <= JOINED)
     pair = small.alias("x").join(small.alias("y"), F.expr(f"x.two = y.two AND x.bits = y.bits AND x.fingerprint < y.fingerprint AND bit_count(x.fingerprint ^ y.fingerprint) <= {int(distance)}"))
