@@ -127,9 +127,9 @@ condition("txt_filter_combo", "documents", "doc_id, lang, n_chars", f"{_either('
 condition("txt_two_fields", "part", "p_partkey", f"({_starts('names', 'red')} OR {_starts('types', 'red')})", PARTS, q="red")
 
 
-@add("txt_filter_range", f"SELECT p_partkey, p_name, p_brand, p_retailprice FROM {PARTS} WHERE ({_starts('names', 'red')} OR {_starts('types', 'red')}) AND p_retailprice >= 950 ORDER BY p_partkey LIMIT 100")
+@add("txt_filter_range", f"SELECT p_partkey, p_name, p_brand, p_retailprice FROM {PARTS} WHERE ({_starts('names', 'red')} OR {_starts('types', 'red')}) AND p_retailprice >= 905 ORDER BY p_partkey LIMIT 100")
 def _text_and_range(spark: SparkSession, sf: str) -> DataFrame:
-    return search(staged(spark, sf, "part"), q="red", filter_by="p_retailprice:>=950").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    return search(staged(spark, sf, "part"), q="red", filter_by="p_retailprice:>=905").select("p_partkey", "p_name", "p_brand", "p_retailprice")
 
 
 @add("txt_postings", f"SELECT doc_id, lang FROM {TOKENISED} WHERE {_either('erth')} AND {_either('and')}")
