@@ -13,8 +13,8 @@ Whole texts are parsed: in chunks side by side, each then parsed again from the
 before it ended in, until the two parses meet, which gives exactly the parse from the beginning.
 
 Learned from: documents whose crc32(doc_id as text) modulo FOLDS isn't 0 and whose label isn't null.
-The sample takes the SAMPLE_DOCS of a language with the least hashes, SAMPLE_CHARS code points at
-most; equal rows count once each, a null id is never learned from.
+The sample takes the SAMPLE_DOCS ids of a language with the least hashes, SAMPLE_CHARS code points at
+most; of several texts of one id the least counts, a null id is never learned from.
 """
 
 from __future__ import annotations
@@ -186,13 +186,16 @@ def phrases(columns: np.ndarray, firsts: np.ndarray, table: np.ndarray) -> np.nd
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """Sample text per language. What comes to the driver is bounded by the constants above per language."""
     ids = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    ids = ids.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("hash"))
+    # a few times as many as are wanted have a hash below the share that they make up; only these are ranked
+    share = F.lit(4.0 * SAMPLE_DOCS) / F.col("n")
+    few = ids.join(F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.shiftrightunsigned("hash", 11) / float(2**53) < share)
     order = Window.partitionBy("lang").orderBy("hash", "id")
-    chosen = ids.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("hash")).distinct()
-    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).select("id", "lang", "n")
+    chosen = few.select("id", "lang", "hash").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).select("id", "lang", "n")
     text = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = text.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "n", F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")).collect()
+    rows = text.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "n").agg(F.min(F.substring("text", 1, SAMPLE_DOC_CHARS)).alias("text")).collect()
     samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["n"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["n"])):
         samples[r["lang"]] = (samples.get(r["lang"], "") + " " + r["text"])[: SAMPLE_CHARS + 1]
     return {k: s for k, s in samples.items() if any(map(str.isalpha, s))}
 
