@@ -27,7 +27,7 @@ import numpy as np
 import regex
 
 #: Pieces that are kept in each of two generations, and the length over which they are not.
-KEPT_PIECES, KEPT_CHARS = 180_000, 64
+KEPT_PIECES, KEPT_CHARS = 300_000, 64
 
 #: The pattern of byte-level BPE, and the same with its classes spelt out for texts below U+0250.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,6 +51,18 @@ def byte_letters() -> tuple[str, ...]:
     return tuple(chr(b) if prints[b] else chr(next(others)) for b in range(256))
 
 
+@functools.cache
+def letter_table() -> dict[int, str]:
+    return dict(enumerate(byte_letters()))
+
+
+def spelt(piece: str) -> str:
+    """The letters of a piece's bytes."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", byte_letters()[32])
+    return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letter_table())
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a tokenizer file, with what the encoder and decoder need."""
 
@@ -58,7 +70,6 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         letters = byte_letters()
-        self.letter_of = dict(enumerate(letters))
         ids: dict[str, int] = data["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -80,13 +91,13 @@ class Vocabulary:
         self.fits: dict[tuple[int, int], bool] = {}
 
         byte_of = {c: b for b, c in enumerate(letters)}
-        spelt = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
+        whole = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         for s, i in ids.items():
-            spelt[i] = bytes(byte_of[c] for c in s)
+            whole[i] = bytes(byte_of[c] for c in s)
         for s, i in self.special.items():
-            spelt[i] = s.encode()
-        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in spelt])]).astype(np.int64)
-        self.buffer = np.frombuffer(b"".join(spelt), np.uint8)
+            whole[i] = s.encode()
+        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in whole])]).astype(np.int64)
+        self.buffer = np.frombuffer(b"".join(whole), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
         """If merging the bytes of a and b by rank keeps the border between them to the end."""
@@ -126,7 +137,7 @@ class Vocabulary:
         return best
 
     def encode_piece(self, piece: str) -> list[int]:
-        letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letter_of)
+        letters = spelt(piece)
         longest, length, n = self.longest_from(letters), self.length, len(letters)
         out: list[int] = []
         alive = bytearray(b"\x01") * (n + 1)
@@ -203,7 +214,7 @@ def library_encoder(path: str) -> PieceTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model, letter_of = tokenizer.model, dict(enumerate(byte_letters()))
+    model = tokenizer.model
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-    return PieceTable(lambda piece: [t.id for t in model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letter_of))], special, split)
+    return PieceTable(lambda piece: [t.id for t in model.tokenize(spelt(piece))], special, split)
