@@ -13,20 +13,27 @@ from frostline.llm import shared
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that it is linked to), for each node of `edges` (columns a, b of one
     orderable type). Nulls link nothing; repeated edges and loops do no harm. No edge, no row."""
-    now = shared.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    spark = edges.sparkSession
+    path = shared.new_path(spark, "edges")
+    now = shared.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", path)
     seen = None
     while True:
         told = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
         if told["n"] == 0 or tuple(told) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         seen = tuple(told)
-        now = shared.written(_small_star(_large_star(now)), "edges")
+        spent = [path, shared.new_path(spark, "least")]
+        path = shared.new_path(spark, "edges")
+        now = shared.written(_small_star(_large_star(now, spent[1])), "edges", path)
+        for old in spent:
+            shared.removed(spark, old)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours go to the least node around it."""
+def _large_star(edges: DataFrame, path: str) -> DataFrame:
+    """Each node's larger neighbours go to the least node around it. The least nodes become a table at `path`,
+    so that Spark can split the join at a node of many edges."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    least = shared.written(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")), "least", path)
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 

@@ -1,15 +1,17 @@
-"""Reading tables, the folder that all executors share, and Arrow batches."""
+"""Reading tables, and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline.storage import new_path, removed, shared_dir, written
+
+__all__ = ["batched", "in_batches", "let", "new_path", "removed", "shared_dir", "table", "texts_of", "written"]
+
 #: What Spark sends to Python at once. Rows of long texts make batches large, so bytes bound them too.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -24,29 +26,6 @@ def batched(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="frostline-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, short lineage, safe from lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once. Lambdas of higher-order functions compute what they take from
     outside for each element, unless it is a column or, as here, an element itself."""
