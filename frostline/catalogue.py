@@ -332,15 +332,15 @@ def _t(name: str) -> str:
 
 
 passed("src_join", f"SELECT c.c_custkey, n.n_name, r.r_name FROM {_t('customer')} c JOIN {_t('nation')} n ON c.c_nationkey = n.n_nationkey JOIN {_t('region')} r ON n.n_regionkey = r.r_regionkey")
-passed("src_left_join", f"SELECT d.doc_id, l.quality FROM {_t('documents')} d LEFT JOIN {_t('labels')} l ON d.doc_id = l.doc_id")
+passed("src_left_join", f"SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM {_t('documents')} d LEFT JOIN {_t('labels')} l ON d.doc_id = l.doc_id")
 passed("src_semi_anti", f"SELECT c_custkey, 'with' AS orders FROM {_t('customer')} WHERE c_custkey IN (SELECT o_custkey FROM {_t('orders')}) UNION ALL SELECT c_custkey, 'without' AS orders FROM {_t('customer')} c WHERE NOT EXISTS (SELECT 1 FROM {_t('orders')} o WHERE o.o_custkey = c.c_custkey)")
 passed("src_range_join", f"SELECT p.p_partkey, count(*) AS n FROM {_t('part')} p JOIN {_t('nation')} n ON n.n_nationkey BETWEEN p.p_size - 3 AND p.p_size GROUP BY p.p_partkey")
-passed("src_window", f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM {_t('orders')}")
+passed("src_window", f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS r, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -1) AS before FROM {_t('orders')}")
 passed("src_union", f"SELECT o_custkey AS k FROM {_t('orders')} UNION SELECT c_custkey FROM {_t('customer')}")
 passed("src_intersect_except", f"(SELECT c_custkey AS k, 'both' AS part FROM {_t('customer')} INTERSECT SELECT o_custkey, 'both' FROM {_t('orders')}) UNION ALL (SELECT c_custkey AS k, 'rest' AS part FROM {_t('customer')} EXCEPT SELECT o_custkey, 'rest' FROM {_t('orders')})")
 passed("src_agg", f"SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM {_t('orders')} GROUP BY o_orderpriority")
-passed("src_rollup", f"SELECT n.n_regionkey, c.c_mktsegment, count(*) AS n FROM {_t('customer')} c JOIN {_t('nation')} n ON c.c_nationkey = n.n_nationkey GROUP BY ROLLUP (n.n_regionkey, c.c_mktsegment)")
-passed("src_cube", f"SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {_t('orders')} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+passed("src_rollup", f"SELECT coalesce(n.n_regionkey, -1) AS n_regionkey, coalesce(c.c_mktsegment, 'all') AS c_mktsegment, count(*) AS n FROM {_t('customer')} c JOIN {_t('nation')} n ON c.c_nationkey = n.n_nationkey GROUP BY ROLLUP (n.n_regionkey, c.c_mktsegment)")
+passed("src_cube", f"SELECT coalesce(o_orderstatus, 'all') AS o_orderstatus, coalesce(o_orderpriority, 'all') AS o_orderpriority, count(*) AS n FROM {_t('orders')} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 passed("src_cte_case", f"WITH big AS (SELECT *, CASE WHEN o_totalprice >= 250000 THEN 'big' ELSE 'small' END AS size FROM {_t('orders')}) SELECT size, o_orderstatus, count(*) AS n FROM big GROUP BY size, o_orderstatus")
 passed("src_distinct", f"SELECT DISTINCT p_brand, p_type FROM {_t('part')}")
 passed("src_functions", f"SELECT p_partkey, p_name || ' ' || p_brand AS label, CAST(floor(p_retailprice) AS BIGINT) AS price, CAST(p_size AS DOUBLE) AS size, upper(p_name) AS loud, length(p_name) AS letters FROM {_t('part')}")

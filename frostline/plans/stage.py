@@ -17,6 +17,8 @@ from frostline.sources import readers
 from frostline.sources.profile import Profile
 
 POINT, POLYGON = "point", "polygon"
+#: Texts order equal keys by so many characters: rows sampled for the ranges go to the driver and stay small.
+TIE_CHARS = 64
 
 
 @dataclass(frozen=True)
@@ -70,11 +72,12 @@ def derived(rows: DataFrame, profile: Profile) -> DataFrame:
 def stage(rows: DataFrame, profile: Profile, kind: str | None = None, path: str | None = None) -> Staged:
     """The rows with all derived columns and ids, written to `path` or the shared folder. Ids go by place (least
     y, then x) and key where there is geometry, else by key; nulls first. Equal keys go by the other
-    stored columns in turn. The table is written sorted by id, so its row groups prune by place or key."""
+    stored columns in turn, text by its beginning, then by a hash of all. The table is written sorted by id, so its row groups prune by place or key."""
     new = derived(rows, profile)
     kinds = {f.name: f.dataType for f in rows.schema}
-    stored = [profile.primary_key, *(c for c in profile.columns if c != profile.primary_key)]
-    ties = [F.col(f"`{c}`") if isinstance(kinds[c], T.AtomicType) else F.to_json(F.struct(f"`{c}`")) for c in stored]
+    others = [c for c in profile.columns if c != profile.primary_key and isinstance(kinds[c], T.AtomicType)]
+    ties = [F.col(f"`{profile.primary_key}`")] + [F.left(f"`{c}`", F.lit(TIE_CHARS)) if isinstance(kinds[c], T.StringType) else F.col(f"`{c}`") for c in others]
+    ties.append(F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in profile.columns)))))
     order = ([F.col("_ymin"), F.col("_xmin")] if profile.of("geo") else []) + ties
     table = storage.written(indexes.placed(new, order), "staged", path)
     before = indexes.bases(table)
