@@ -226,7 +226,7 @@ def test_containment_is_exact(spark) -> None:  # noqa: ANN001
             key = len(rows)
             block = [w for k, w in enumerate(own[:n]) for w in ([w, f"zz{k}"] if n % 2 else [w])]
             rows.append((key, " ".join(block) if lines or n % 3 else "\n".join(block)))
-            want[key] = n >= licenses.needed(len(own)) and (not lines or True), label
+            want[key] = n >= licenses.needed(len(own)), label
     got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     for key, (hit, label) in want.items():
         if hit:
@@ -245,12 +245,13 @@ def longest_phrases(text: list[int], sample: list[int]) -> int:
 
 
 def test_cross_parsing_is_exact() -> None:
-    model = langid.Model({"de": " ".join(t for t in ("der schein ungich bericht ver über ein " * 3).split()), "fr": "le eau oique tion édele eau que " * 4})
+    samples = {"de": "der schein ungich bericht ver über ein " * 3, "fr": "le eau oique tion édele eau que " * 4}
+    model = langid.Model(samples)
     rng = random.Random(2)
     texts = ["".join(rng.choice("der schin ugbveraéàoq .1\n") for _ in range(rng.randint(1, 900))) for _ in range(30)] + ["d" * 2000]
     got = model.entropies(texts)
     for k, name in enumerate(model.languages):
-        sample = model.symbols({"de": "der schein ungich bericht ver über ein " * 3, "fr": "le eau oique tion édele eau que " * 4}[name]).tolist() if name == "fr" else model.symbols(" ".join(("der schein ungich bericht ver über ein " * 3).split())).tolist()
+        sample = model.symbols(samples[name]).tolist()
         for text, e in zip(texts, got[:, k], strict=True):
             symbols = model.symbols(text).tolist()
             assert round(e * len(symbols) / model.bits[k]) == longest_phrases(symbols, sample)

@@ -65,7 +65,8 @@ def test_op6(spark, clean_dir: str, clean_rows: list[tuple]) -> None:  # noqa: A
 
 def test_encode_and_decode_of_messy_rows(messy, empty) -> None:  # noqa: ANN001
     back = encoding.decode(encoding.encode(messy, TOKENIZER), TOKENIZER)
-    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in back.collect()) == sorted((r.doc_id is None, r.doc_id, r.text or "") for r in messy.collect()) or back.count() == messy.count()
+    shown = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in rows)
+    assert shown(back.collect()) == shown(messy.collect())
     assert encoding.encode(empty, TOKENIZER).collect() == [] and encoding.round_trip(empty, TOKENIZER).collect() == []
 
 
@@ -133,7 +134,6 @@ def test_packing_of_messy_rows(messy, empty, spark) -> None:  # noqa: ANN001
     assert sum(r.length for r in rows) == sum(len(ids_of(r.text or "")) + 1 for r in messy.collect())
     assert packing.pack_documents(empty, TOKENIZER).collect() == []
     same = spark.createDataFrame([(1, "a b")] * 700, "doc_id bigint, text string")
-    check_packing([r for r in packing.pack_documents(same, TOKENIZER, capacity=7).collect() if r.doc_id != 1] or [], [], 7)
     packed = packing.pack_documents(same, TOKENIZER, capacity=7).collect()
     assert len(packed) == 700 and len({(r.sequence_id, r.offset) for r in packed}) == 700 and len({r.sequence_id for r in packed}) == 350
 
