@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
@@ -37,7 +38,9 @@ from frostline.llm import bpe, shared
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC, CHECKSUMS, FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80, struct.Struct("<IBI")
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 LEVEL = 3
-MANIFEST = [("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
+#: Documents that find() is asked for at a time stay fewer: their ids travel with the tasks.
+MOST_ASKED = 100_000
+MANIFEST = [("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())]
 
 
 class TokenFileWriter:
@@ -102,7 +105,7 @@ def opened(path: str) -> TokenFileReader:
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes `docs` with the end id after each, writes files into `folder` (a URI that all executors
-    reach) and returns the manifest, written beside them: part, path, n_docs, n_tokens."""
+    reach) and returns the manifest, written beside them: part, path, n_docs, n_tokens, first_doc, last_doc."""
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -117,13 +120,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
                 writer.add(doc, table.ids(text) + end)
         if writer is not None:
             writer.close()
-            yield part, f"{folder}/{name}", len(writer.docs), writer.n_tokens
+            yield part, f"{folder}/{name}", len(writer.docs), writer.n_tokens, writer.docs[0], writer.docs[-1]
 
     spark = docs.sparkSession
     shared.batched(spark)
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = two.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = ranged.mapInArrow(lambda b: shared.in_batches(run(b), MANIFEST), "part long, path string, n_docs long, n_tokens long")
+    manifest = ranged.mapInArrow(lambda b: shared.in_batches(run(b), MANIFEST), "part long, path string, n_docs long, n_tokens long, first_doc long, last_doc long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -147,16 +150,18 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def find(spark: SparkSession, manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Requested documents with their ids: doc_id, ids. `doc_ids` is a frame of one column; the file that
-    holds each is not known from the manifest, so every file's index is read, but only their frames."""
-    names = [r[0] for r in doc_ids.limit(100_001).collect()]
-    if len(names) > 100_000:
-        raise ValueError("ask for 100,000 documents at most; read() gives all")
+    """Requested documents with their ids: doc_id, ids. `doc_ids` is a frame of one column. Files whose range of
+    ids holds none of them aren't opened; of the others the tables and the wanted frames are read."""
+    names = sorted(r[0] for r in doc_ids.limit(MOST_ASKED + 1).collect() if r[0] is not None)
+    if len(names) >= MOST_ASKED:
+        raise ValueError(f"ask for fewer than {MOST_ASKED} documents; read() gives all")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                for doc, ids in opened(path).find(names):
+            for path, first, last in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                low = 0 if first is None else bisect_left(names, first)
+                wanted = names[low : 0 if last is None else bisect_right(names, last)]
+                for doc, ids in opened(path).find(wanted) if wanted else ():
                     yield doc, ids.tolist()
 
-    return manifest.select("path").mapInArrow(lambda b: shared.in_batches(run(b), [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))], 200), "doc_id long, ids array<long>")
+    return manifest.select("path", "first_doc", "last_doc").mapInArrow(lambda b: shared.in_batches(run(b), [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))], 200), "doc_id long, ids array<long>")
