@@ -63,7 +63,7 @@ def _prints(column: pa.Array) -> np.ndarray:
 def band_links(nodes: DataFrame) -> DataFrame:
     """Links a, b between nodes (a written table: node, print, bands) that share a band and are alike."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = shared.written(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # a table of its own, so that Spark can split the join at a large bucket
     # Spark takes exploded rows for as small as the table they come from; without the hint it may broadcast them
     full = shared.written(keyed.hint("merge").join(sizes, ["band", "value"]), "bands")
     small = full.where(F.col("n") <= JOINED)
@@ -110,11 +110,10 @@ def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def groups(signed: DataFrame) -> DataFrame:
     """id, key and group of each row of written signatures()."""
     nodes = shared.written(signed.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("bits", "print", "bands"))), "nodes")
-    of_bits = nodes.groupBy("bits").agg(F.min("node").alias("first"))
+    of_bits = shared.written(nodes.groupBy("bits").agg(F.min("node").alias("first")), "distinct")
     same = nodes.join(of_bits, "bits").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    distinct = shared.written(of_bits, "distinct")
-    close = simhash.links(distinct.select(F.col("bits").alias("fingerprint")), DISTANCE)
-    close = close.join(distinct.select(F.col("bits").alias("a"), F.col("first").alias("of_a")), "a").join(distinct.select(F.col("bits").alias("b"), F.col("first").alias("of_b")), "b")
+    close = simhash.links(of_bits.select(F.col("bits").alias("fingerprint")), DISTANCE)
+    close = close.join(of_bits.select(F.col("bits").alias("a"), F.col("first").alias("of_a")), "a").join(of_bits.select(F.col("bits").alias("b"), F.col("first").alias("of_b")), "b")
     linked = components(same.union(close.select("of_a", "of_b")).union(band_links(nodes)))
     return signed.select("id", "key", "node").join(linked, "node", "left").select("id", "key", F.coalesce("component", "node").alias("group"))
 

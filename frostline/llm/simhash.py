@@ -89,7 +89,7 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
     `distance` bits or fewer: not all, but enough to connect all that are connected."""
     masks = F.array(*(F.lit(m) for m in block_masks(distance)))
     keyed = distinct.select("fingerprint", F.posexplode(masks).alias("two", "mask")).select("fingerprint", "two", F.expr("fingerprint & mask").alias("bits"))
-    sizes = keyed.groupBy("two", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = shared.written(keyed.groupBy("two", "bits").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # a table of its own, so that Spark can split the join at a large bucket
     # Spark takes exploded rows for as small as the table they come from; without the hint it may broadcast them
     full = shared.written(keyed.hint("merge").join(sizes, ["two", "bits"]), "buckets")
 
