@@ -48,6 +48,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     place = F.struct("id", "key", "first")
     # how often a window stands somewhere and where first: partial minima and counts come before the shuffle
     repeated = found.groupBy("hash").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").select("hash", "origin")
+    repeated = shared.written(repeated, "repeated")  # a table of its own, so that Spark can split the join at a common window
     later = found.join(repeated, "hash").where(~place.eqNullSafe(F.col("origin")))
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))
     cuts = later.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(covered.alias("_cut"))  # within one document
