@@ -243,7 +243,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     some = row.where(guarded)
     found = shared.written(some.select(id_.alias("_id"), F.xxhash64(text).alias("_key"), F.explode(F.array_distinct(mentions(text))).alias("mention")), "found")
     new = F.map_from_entries(F.collect_set(F.struct("mention", F.struct("replacement", "kind"))))  # of one text
-    of_doc = found.join(replacements(found, key), "mention").groupBy("_id", "_key").agg(new.alias("_new"))
+    known = shared.written(replacements(found, key), "replacements")  # a table of its own, so that Spark can split the join at a common mention
+    of_doc = found.join(known, "mention").groupBy("_id", "_key").agg(new.alias("_new"))
     joined = some.join(of_doc.hint("shuffle_hash"), id_.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     joined = joined.withColumn("_parts", F.when(F.col("_new").isNotNull(), pieces(text)))
 
