@@ -39,6 +39,9 @@ SYLLABLES = {
 }
 #: Attempts that draw given names from the lists above; later ones make names up, of which there is no end.
 LISTED_ATTEMPTS = 2
+#: Attempts that keep the length of e-mail addresses, and all attempts: whoever still has no surrogate then has a
+#: format of which nearly all values are in use, which is an error.
+SAME_LENGTH_ATTEMPTS, ATTEMPTS = 6, 40
 
 WORD = r"\p{Lu}[\p{L}'’-]+"
 TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True)) + ")"
@@ -142,6 +145,7 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: int) -> Column:
     no = F.lit(False)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     labels = F.regexp_replace(domain, r"\.[^.]+$", "")
+    longer = F.substring(seed, 1, 8) if attempt >= SAME_LENGTH_ATTEMPTS else F.lit("")
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
 
     def by_script(latin: Column, other: Column) -> Column:
@@ -163,7 +167,7 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: int) -> Column:
     kept = F.when(plus, 2).otherwise(0)  # + and the first digit of the country
     first = (_draw(seed, 99, 8) + 2).cast("string")
     return (
-        F.when(kind == "email", F.concat(_scrambled(local, seed, no), F.lit("@"), _scrambled(labels, F.concat(seed, F.lit("d")), no), F.lit(".example")))
+        F.when(kind == "email", F.concat(_scrambled(local, seed, no), longer, F.lit("@"), _scrambled(labels, F.concat(seed, F.lit("d")), no), F.lit(".example")))
         .when(kind == "phone", F.concat(entity.substr(F.lit(1), kept), first, digits.substr(kept + 2, F.length(entity))))
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ssn", F.concat(F.lit("9"), digits.substr(F.lit(2), F.length(entity))))
@@ -193,6 +197,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
         if left.isEmpty():
             return done
+        if attempt == ATTEMPTS:
+            raise ValueError(f"no surrogate is left for some entities of kind {left.first()['kind']}")
 
 
 def _name_words(mention: Column) -> Column:

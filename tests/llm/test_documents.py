@@ -199,6 +199,8 @@ def test_surrogates_differ(spark) -> None:  # noqa: ANN001
     got = pii.pseudonymise(spark.createDataFrame(men + mails, "doc_id bigint, text string"), "k").collect()
     assert len({r.text for r in got if r.doc_id < 500}) == len({t for _, t in men}) and len({r.text for r in got if r.doc_id >= 500}) == 26
     assert len({r.text.split()[2] for r in got if r.doc_id < 500}) == 1
+    full = [(k, f"{chr(97 + k % 26)}@{chr(97 + k // 26 % 26)}.{('aa', 'bb')[k // 676]}") for k in range(1352)]  # more than there are of this length
+    assert len({r.text for r in pii.pseudonymise(spark.createDataFrame(full, "doc_id bigint, text string"), "k").collect()}) == 1352
     real = {t.split()[1] for _, t in men}
     assert not real & {r.text.split()[1] for r in got if r.doc_id < 500}
 
