@@ -150,6 +150,28 @@ def test_large_bands_lose_no_link(spark, monkeypatch: pytest.MonkeyPatch) -> Non
     assert [r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
 
 
+@pytest.mark.parametrize("joined", [16, 1])
+def test_near_copies_are_told_exactly(spark, monkeypatch: pytest.MonkeyPatch, joined: int) -> None:  # noqa: ANN001
+    """Pairs just over the threshold and just under it, as small buckets and as large ones."""
+    monkeypatch.setattr(neardup, "JOINED", joined)
+    rng = random.Random(3)
+    rows, near = [], {}
+    for k in range(120):
+        n = (65, 150, 600)[k % 3]
+        a = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        changed = next(c for c in range(n) if (n - c) / (n + c) < (0.8 if k % 2 else 0.815))  # shingles at the end that differ
+        b = a[: n + 4 - changed] + [f"x{rng.randrange(10**9)}" for _ in range(changed)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        near[k] = jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+    assert 40 <= sum(near.values()) <= 80
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in neardup.keep_one(docs).collect()}
+    bits = {d: simhash_of(t, 5) for d, t in rows}
+    close = {k for k in near if (bits[2 * k] ^ bits[2 * k + 1]).bit_count() <= 4}
+    assert {k for k in near if 2 * k + 1 not in kept} == {k for k in near if near[k]} | close
+    assert all(2 * k in kept for k in near)
+
+
 def test_line_dedup_equals_its_sql(clean, clean_rows: list[tuple]) -> None:  # noqa: ANN001
     con = duckdb.connect()
     con.register("documents", clean.select("doc_id", "text").toArrow())
