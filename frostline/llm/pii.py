@@ -7,13 +7,14 @@ different entity gets one surrogate for the whole corpus, drawn by SHA-256 of a
 the entity and the number of the attempt:
 - of the same type and format: digits stand for digits, letters for letters of the same case, marks
   stay, card numbers pass the check, addresses end in the reserved domain `example`, IPv4 addresses
-  begin with the reserved 240 to 254, social security numbers with 9, which is never issued;
+  begin with the reserved 240 to 254, social security numbers with 9, which is never issued; where a
+  format has too few free values, surrogates grow by some characters, more from attempt to attempt;
 - given names for given names of the same gender and script, surnames for surnames of the script;
 - coreferent: the same number in another spelling, the same address in other case, or the same name
   in another mention gets the same surrogate, spelt like the mention.
 Surrogates are checked against each other and against all entities found: of those that draw the same
 one only the least entity keeps it, and none keeps one that is itself an entity; the others draw
-again, until all differ. So different entities stay different.
+again, until all differ. So different entities stay different. A phone number has 7 digits or more.
 
 Null and empty texts stay. Rows with equal id and text come out alike. Long texts and repeated
 entities do no harm. Other columns pass through.
@@ -39,9 +40,9 @@ SYLLABLES = {
 }
 #: Attempts that draw given names from the lists above; later ones make names up, of which there is no end.
 LISTED_ATTEMPTS = 2
-#: Attempts that keep the length of e-mail addresses, and all attempts: whoever still has no surrogate then has a
-#: format of which nearly all values are in use, which is an error.
-SAME_LENGTH_ATTEMPTS, ATTEMPTS = 6, 40
+#: Attempts that keep the length. Whoever still has no surrogate then has a format of which most values are in use;
+#: later ones grow by GROWTH more digits each, up to MOST_GROWTH, of which there are enough for any corpus.
+SAME_LENGTH_ATTEMPTS, GROWTH, MOST_GROWTH = 6, 2, 12
 
 WORD = r"\p{Lu}[\p{L}'’-]+"
 TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True)) + ")"
@@ -55,7 +56,7 @@ PATTERNS = [
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("card", r"(?<!\d)(?:3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,4})(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,5}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
+    ("phone", r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?=(?:[ .-]?\(?\d\)?){7})\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,5}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
     ("ip", rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"),
     ("name", rf"(?<!\p{{L}})(?:{TITLE}\.? {WORD}(?: {WORD})?|{KNOWN} {WORD})"),
 ]
@@ -146,6 +147,8 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: int) -> Column:
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     labels = F.regexp_replace(domain, r"\.[^.]+$", "")
     longer = F.substring(seed, 1, 8) if attempt >= SAME_LENGTH_ATTEMPTS else F.lit("")
+    grown = min(GROWTH * (attempt - SAME_LENGTH_ATTEMPTS + 1), MOST_GROWTH)
+    more = F.lpad(_draw(seed, 98, 10**grown).cast("string"), grown, "0") if attempt >= SAME_LENGTH_ATTEMPTS else F.lit("")
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
 
     def by_script(latin: Column, other: Column) -> Column:
@@ -160,21 +163,21 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: int) -> Column:
 
     surname = by_script(_made_up(seed, attempt, "latin"), F.concat(_made_up(seed, attempt, "cyrillic"), F.when(F.lower(entity).endswith("а"), "ова").otherwise("ов")))
     digits = _scrambled(entity, seed, no)
-    body = F.concat(entity.substr(F.lit(1), F.lit(1)), digits.substr(F.lit(2), F.length(entity) - 2))
+    body = F.concat(entity.substr(F.lit(1), F.lit(1)), digits.substr(F.lit(2), F.length(entity) - 2), more)
     check = (10 - luhn(F.concat(body, F.lit("0")))) % 10
-    octets = F.concat_ws(".", *((_draw(seed, k, 15 if k == 0 else 254) + (240 if k == 0 else 1)).cast("string") for k in range(4)))
+    octets = F.concat_ws(".", *((_draw(seed, k, 15 if k == 0 else 254) + (240 if k == 0 else 1)).cast("string") for k in range(4)), *([more] if attempt >= SAME_LENGTH_ATTEMPTS else []))
     plus = entity.startswith("+")
     kept = F.when(plus, 2).otherwise(0)  # + and the first digit of the country
     first = (_draw(seed, 99, 8) + 2).cast("string")
     return (
         F.when(kind == "email", F.concat(_scrambled(local, seed, no), longer, F.lit("@"), _scrambled(labels, F.concat(seed, F.lit("d")), no), F.lit(".example")))
-        .when(kind == "phone", F.concat(entity.substr(F.lit(1), kept), first, digits.substr(kept + 2, F.length(entity))))
+        .when(kind == "phone", F.concat(entity.substr(F.lit(1), kept), first, digits.substr(kept + 2, F.length(entity)), more))
         .when(kind == "card", F.concat(body, check.cast("string")))
-        .when(kind == "ssn", F.concat(F.lit("9"), digits.substr(F.lit(2), F.length(entity))))
+        .when(kind == "ssn", F.concat(F.lit("9"), digits.substr(F.lit(2), F.length(entity)), more))
         .when(kind == "ip", octets)
-        .when(kind == "iban", F.concat(entity.substr(F.lit(1), F.lit(2)), digits.substr(F.lit(3), F.length(entity))))
-        .when(kind == "key", F.concat(F.lit("AKIA"), digits.substr(F.lit(5), F.length(entity))))
-        .when(kind == "secret", _scrambled(entity, seed, entity.rlike("^[0-9a-f]+$")))
+        .when(kind == "iban", F.concat(entity.substr(F.lit(1), F.lit(2)), digits.substr(F.lit(3), F.length(entity)), more))
+        .when(kind == "key", F.concat(F.lit("AKIA"), digits.substr(F.lit(5), F.length(entity)), more))
+        .when(kind == "secret", F.concat(_scrambled(entity, seed, entity.rlike("^[0-9a-f]+$")), longer))
         .when(kind == "given_m", given("m"))
         .when(kind == "given_f", given("f"))
         .otherwise(surname)
@@ -197,8 +200,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
         if left.isEmpty():
             return done
-        if attempt == ATTEMPTS:
-            raise ValueError(f"no surrogate is left for some entities of kind {left.first()['kind']}")
 
 
 def _name_words(mention: Column) -> Column:
@@ -217,7 +218,8 @@ def _spelt(kind: Column, mention: Column, entity: Column, surrogate: Column) ->
     step = F.aggregate(
         characters(mention), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda a, c: F.when(c.rlike("[A-Za-z0-9+]"), F.struct(F.concat(a["out"], surrogate.substr(a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
-    )["out"]
+    )
+    step = shared.let(step, lambda x: F.concat(x["out"], surrogate.substr(x["at"], F.length(surrogate))))  # what has grown comes last
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), step)
         .when(kind == "secret", F.replace(mention, entity, surrogate))

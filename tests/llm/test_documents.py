@@ -227,6 +227,24 @@ def test_surrogates_differ(spark) -> None:  # noqa: ANN001
     assert not real & {r.text.split()[1] for r in got if r.doc_id < 500}
 
 
+def test_surrogates_of_full_formats(spark) -> None:  # noqa: ANN001
+    """Formats with fewer free values than entities neither stop the rounds nor share surrogates."""
+    entities = [("phone", f"+1{k:02}") for k in range(100)] + [("secret", "--------"), ("secret", "++++++++")]
+    got = pii.surrogates(spark.createDataFrame(entities, "kind string, entity string"), "k").collect()
+    assert {(r.kind, r.entity) for r in got} == set(entities) and len({(r.kind, r.surrogate) for r in got}) == len(entities)
+    assert not {(r.kind, r.surrogate) for r in got} & set(entities)
+    spelt = spark.createDataFrame([("phone", "+1 0-0", "+100", "+123456")], "kind string, word string, entity string, new string")
+    assert spelt.select(pii._spelt(*map(F.col, spelt.columns))).first()[0] == "+1 2-3456"
+
+
+def test_short_numbers_are_no_phones(spark) -> None:  # noqa: ANN001
+    texts = [f"+{k} points or +{k}% of +{k} {k}" for k in range(100, 200)] + ["call +290 2345 or +683 4002 or +49 30 1234567", "password = -------- and token: ++++++++"]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "k").collect()}
+    assert all(got[k].text == texts[k] and got[k].n_entities == 0 for k in range(100))
+    assert (got[100].n_entities, got[100].kinds, got[101].n_entities) == (3, "phone", 2)
+    assert not any(x in got[100].text for x in ("2345", "4002", "1234567"))
+
+
 def test_op9_equals_its_sql(spark, clean, clean_dir: str) -> None:  # noqa: ANN001
     con = duckdb.connect()
     con.register("documents", clean.select("doc_id", "text").toArrow())
