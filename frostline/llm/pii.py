@@ -61,8 +61,8 @@ PATTERNS = [
     ("name", rf"(?<!\p{{L}})(?:{TITLE}\.? {WORD}(?: {WORD})?|{KNOWN} {WORD})"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: Each entity holds a digit, an @, a title or a known name; texts without any are left alone.
-GUARD = rf"[0-9@]|(?<!\p{{L}})(?:{TITLE}|{KNOWN})\.? |(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]"
+#: Each entity holds a digit, an @, AKIA, a title or a known name, or follows the name of a secret; texts without any are left alone.
+GUARD = rf"[0-9@]|AKIA|(?<!\p{{L}})(?:{TITLE}|{KNOWN})\.? |(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]"
 MARK = "￾"  # stands on either side of an entity; one of the text itself becomes an empty entity
 
 
