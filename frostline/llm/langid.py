@@ -12,9 +12,15 @@ text that is null or has no letter is `und` with score 0; so is every text if no
 Whole texts are parsed: in chunks side by side, each then parsed again from the state that the chunk
 before it ended in, until the two parses meet, which gives exactly the parse from the beginning.
 
-Learned from: documents whose crc32(doc_id as text) modulo FOLDS isn't 0 and whose label isn't null.
-The sample takes the SAMPLE_DOCS ids of a language with the least hashes, SAMPLE_CHARS code points at
-most; of several texts of one id the least counts, a null id is never learned from.
+Learned from: documents whose crc32(doc_id as text) modulo FOLDS isn't 0 and whose label isn't null. The
+sample of a language is whole texts of a bounded number of rows (sample_rows) of a bounded length
+(longest): those whose ids have the least hashes. Where a language has fewer of these, its shortest longer
+text counts among them. Of several texts of one id the shortest counts, of equally short ones the least; a
+null id is never learned from. More than most_languages different labels are an error: they are no languages.
+
+Repeated rows count once in the sample and come out alike. An empty table teaches nothing and gives no
+rows. Very long texts are parsed whole, TOGETHER symbols or one text at a time. identify() leaves other
+columns out; identified() passes them in a struct, so their names never clash.
 """
 
 from __future__ import annotations
@@ -31,7 +37,9 @@ from pyspark.sql import types as T
 
 from frostline.llm import shared
 
-FOLDS, SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 5, 100, 2_000, 40_000
+FOLDS = 5
+#: Defaults of the sample's bounds: rows of a language, code points of a row, languages.
+SAMPLE_ROWS, LONGEST, MOST_LANGUAGES = 30, 3_000, 200
 CHUNK, TOGETHER = 256, 1 << 19
 UNKNOWN = "und"
 STARTS, STATE = np.int32(-(2**31)), np.int32(2**31 - 1)
@@ -183,20 +191,32 @@ def phrases(columns: np.ndarray, firsts: np.ndarray, table: np.ndarray) -> np.nd
         ended[live] = new
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Sample text per language. What comes to the driver is bounded by the constants above per language."""
-    ids = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    ids = ids.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("hash"))
-    # a few times as many as are wanted have a hash below the share that they make up; only these are ranked
-    share = F.lit(4.0 * SAMPLE_DOCS) / F.col("n")
-    few = ids.join(F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.shiftrightunsigned("hash", 11) / float(2**53) < share)
+def learn(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample_rows: int = SAMPLE_ROWS, longest: int = LONGEST, most_languages: int = MOST_LANGUAGES,
+) -> dict[str, str]:
+    """Sample text per language. Whole texts come to the driver, sample_rows of up to `longest` code points of a
+    language, or its shortest longer one among them."""
+    n_chars = F.length(text_col)
+    rows = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (n_chars > 0))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), n_chars.alias("n_chars"), F.xxhash64(F.col(id_col).cast("string")).alias("hash"))
+    short = F.col("n_chars") <= longest
+    told = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(short, F.col("id"))).alias("n"), F.min(F.when(~short, F.col("n_chars"))).alias("next"))
+    told = told.limit(most_languages + 1).collect()
+    if len(told) > most_languages:
+        raise ValueError(f"more than {most_languages} different labels: raise most_languages if these are languages")
+    # a few times as many ids as are wanted have a hash below the share that they make up; only these are ranked
+    bounds = [(r["lang"], 4.0 * sample_rows / max(1, r["n"]), longest if r["n"] >= sample_rows else r["next"] or longest) for r in told]
+    of_lang = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, share double, most int"))  # a row per language
+    few = rows.join(of_lang, "lang").where((F.shiftrightunsigned("hash", 11) / float(2**53) < F.col("share")) & (F.col("n_chars") <= F.col("most")))
     order = Window.partitionBy("lang").orderBy("hash", "id")
-    chosen = few.select("id", "lang", "hash").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).select("id", "lang", "n")
+    chosen = few.select("id", "lang", "hash", "most").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).select("id", "lang", "n", "most")
     text = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = text.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "n").agg(F.min(F.substring("text", 1, SAMPLE_DOC_CHARS)).alias("text")).collect()
+    same = text.join(F.broadcast(chosen), ["id", "lang"]).where((F.length("text") > 0) & (F.length("text") <= F.col("most")))
+    best = same.groupBy("lang", "n").agg(F.min(F.struct(F.length("text").alias("n_chars"), "text")).alias("best")).select("lang", "n", "best.text").collect()
     samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["n"])):
-        samples[r["lang"]] = (samples.get(r["lang"], "") + " " + r["text"])[: SAMPLE_CHARS + 1]
+    for r in sorted(best, key=lambda r: (r["lang"], r["n"])):
+        samples[r["lang"]] = f"{samples[r['lang']]} {r['text']}" if r["lang"] in samples else r["text"]
     return {k: s for k, s in samples.items() if any(map(str.isalpha, s))}
 
 
