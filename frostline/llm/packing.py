@@ -9,8 +9,10 @@ placement would. The steps come back as runs: so many pieces of this length, fro
 these sequences from this place on. Each piece then finds its own sequence from its rank among
 pieces of its length. Ranks come from counts over salted groups, so no length is ever in one task.
 
-Null texts count as empty: such a document is its end id alone. Equal rows are packed one by one.
-An empty table gives no rows. Extra columns are left out.
+Null texts count as empty: such a document is its end id alone. Equal rows are packed one by one: pieces
+are numbered when they are written, and ranks go by that number, so rows of one id, or without any, are
+dealt out like others. A very long text is one row in memory, its ids 4 bytes each, before it is cut. An
+empty table gives no rows. Extra columns are left out, so their names never clash.
 """
 
 from __future__ import annotations
@@ -114,24 +116,24 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str
     return two.mapInArrow(lambda b: shared.in_batches(rows(b), PIECE), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """`pieces` (read more than once: give a written table) with sequence_id and offset. It needs a column
-    length, from 1 to capacity; others pass through."""
+def pack(pieces: DataFrame, capacity: int, key: str = "number") -> DataFrame:
+    """`pieces` (read more than once: give a written table) with sequence_id and offset, less the key. It needs
+    a column length, from 1 to capacity, and the key, which differs in all rows; others pass through."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row per length at most
     runs = spark.createDataFrame(best_fit_decreasing(counts, capacity), RUNS)
     in_group = max(200, sum(counts.values()) // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     groups = spark.createDataFrame([(k, -(-n // min(in_group, 50_000))) for k, n in counts.items()], "length long, groups long")
-    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64(*order), "groups")).drop("groups")
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64(key), "groups")).drop("groups")
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     base = base.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(key)) - 1)
     ranked = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     # as many runs as the capacity allows, whatever the input: at most a few for each pair of lengths
     placed = ranked.join(F.broadcast(runs.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
     step = F.col("rank") - F.col("from_rank")
     return placed.select(
-        *pieces.columns,
+        *(c for c in pieces.columns if c != key),
         (F.col("first_sequence") + F.floor(step / F.col("in_each"))).alias("sequence_id"),
         (F.col("first_offset") + step % F.col("in_each") * F.col("length")).alias("offset"),
     )
@@ -139,4 +141,5 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("doc_id", "
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece."""
-    return pack(shared.written(cut(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    pieces = cut(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("number", F.monotonically_increasing_id())
+    return pack(shared.written(pieces, "pieces"), capacity)
