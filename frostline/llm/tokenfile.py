@@ -11,7 +11,9 @@ and decompresses those documents' frames alone, checking their checksums.
 
 A file is written under a name of its own attempt, and the manifest names the attempts that count,
 so tasks may be tried again or twice. Documents are dealt out by ranges of doc_id and sorted; ties
-go by text; a null doc_id comes first, a null text counts as empty. No document, no file.
+go by a hash of the text; a null doc_id comes first, a null text counts as empty. No document, no file. A very
+long text is one frame, its ids 4 bytes each in memory; a frame holds up to 4 GB. Columns besides the id
+and the text are left out, so their names never clash.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
@@ -38,8 +39,6 @@ from frostline.llm import bpe, shared
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC, CHECKSUMS, FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80, struct.Struct("<IBI")
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 LEVEL = 3
-#: Documents that find() is asked for at a time stay fewer: their ids travel with the tasks.
-MOST_ASKED = 100_000
 MANIFEST = [("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())]
 
 
@@ -150,18 +149,34 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def find(spark: SparkSession, manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Requested documents with their ids: doc_id, ids. `doc_ids` is a frame of one column. Files whose range of
-    ids holds none of them aren't opened; of the others the tables and the wanted frames are read."""
-    names = sorted(r[0] for r in doc_ids.limit(MOST_ASKED + 1).collect() if r[0] is not None)
-    if len(names) >= MOST_ASKED:
-        raise ValueError(f"ask for fewer than {MOST_ASKED} documents; read() gives all")
+    """Requested documents with their ids: doc_id, ids. `doc_ids` is a frame of one column, of any number of rows;
+    null and repeated ones count once or not at all. Each id goes to the files whose range holds it, by
+    search in the ranges, then file by file; of a file the tables and the wanted frames are read, and files whose
+    range holds none of the ids aren't opened."""
+    files = sorted((r for r in manifest.collect() if r["last_doc"] is not None), key=lambda r: r["part"])  # a row per file
+    paths, lasts = [r["path"] for r in files], np.array([r["last_doc"] for r in files], np.int64)
+    firsts = np.array([-(2**63) if r["first_doc"] is None else r["first_doc"] for r in files], np.int64)
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(lasts, doc, "left"), np.searchsorted(firsts, doc, "right")  # files from low to high - 1
+            n = np.maximum(high - low, 0)
+            k = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(np.repeat(doc, n))], names=["file", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, reader, places = None, None, {}
         for batch in batches:
-            for path, first, last in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                low = 0 if first is None else bisect_left(names, first)
-                wanted = names[low : 0 if last is None else bisect_right(names, last)]
-                for doc, ids in opened(path).find(wanted) if wanted else ():
-                    yield doc, ids.tolist()
+            for k, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != now:
+                    now, reader, places = k, opened(paths[k]), {}
+                    for place, held in enumerate(reader.docs):
+                        places.setdefault(held, []).append(place)
+                for place in places.get(doc, ()):
+                    yield doc, np.frombuffer(reader.ids(place), "<u4").tolist()
 
-    return manifest.select("path", "first_doc", "last_doc").mapInArrow(lambda b: shared.in_batches(run(b), [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))], 200), "doc_id long, ids array<long>")
+    shared.batched(spark)
+    asked = doc_ids.toDF("doc_id").select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()
+    placed = asked.mapInArrow(locate, "file int, doc_id long").repartition("file").sortWithinPartitions("file", "doc_id")
+    return placed.mapInArrow(lambda b: shared.in_batches(run(b), [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))], 200), "doc_id long, ids array<long>")
