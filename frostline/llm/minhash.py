@@ -9,7 +9,9 @@ each of the 256 minima into 256 bytes. Two minima that differ agree in these bit
 
 Words are runs of other bytes than ASCII white space, A-Z lower-cased. A text of fewer words is one
 shingle; a text without words, an empty or a null one is a shingle of no words, so all these are
-alike. Repeated shingles count once, as the minimum does. Equal rows have equal fingerprints.
+alike. Repeated shingles count once, as the minimum does. Equal rows have equal fingerprints. A very long
+text, or word, is hashed in blocks: beyond the text itself it needs 8 bytes a word. An empty table gives
+no rows. Columns besides the id and the text are left out, so their names never clash.
 """
 
 from __future__ import annotations
@@ -94,13 +96,69 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     return np.concatenate([of[inside], short]), mixed(np.concatenate([h, g]))
 
 
-def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """A row of BINS bytes per text."""
+def word_hashes(text: bytes) -> np.ndarray:
+    """The hashes of the words of one text, as shingle_hashes() has them, block by block."""
+    out, open_sum, open_size = [], 0, 0  # of a word that goes on in the next block
+    for at in range(0, len(text), TOGETHER):
+        buffer = LOWER[np.frombuffer(text, np.uint8, min(TOGETHER, len(text) - at), at)]
+        space = IS_SPACE[buffer]
+        before = np.concatenate([[open_size == 0], space[:-1]])
+        starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & np.concatenate([[open_size > 0], ~space[:-1]]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(buffer)), dtype=np.uint64)])
+        if open_size:
+            end = int(ends[0]) if len(ends) else len(buffer)
+            open_sum, open_size, ends = (open_sum + int(sums[end]) * pow(BASE, open_size, 2**64)) % 2**64, open_size + end, ends[1:]
+            if end == len(buffer):
+                continue
+            out.append(mixed(np.array([open_sum], np.uint64)))
+            open_size = 0
+        whole = starts[: len(ends)]
+        out.append(mixed((sums[ends] - sums[whole]) * powers(INVERSE, len(buffer))[whole]))
+        if len(starts) > len(ends):
+            first = int(starts[-1])
+            open_sum, open_size = (int(sums[-1]) - int(sums[first])) * pow(INVERSE, first, 2**64) % 2**64, len(buffer) - first
+    if open_size:
+        out.append(mixed(np.array([open_sum], np.uint64)))
+    return np.concatenate([np.empty(0, np.uint64), *out])
+
+
+def long_hashes(text: bytes, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The shingle hashes of one text, in blocks."""
+    word = word_hashes(text)
+    if len(word) < words:
+        yield shingle_hashes([b" ".join(text.split())], words)[1] if len(text) < TOGETHER else _shingle(word[None, :])
+        return
+    for at in range(0, len(word) - words + 1, TOGETHER):
+        yield _shingle(np.lib.stride_tricks.sliding_window_view(word[at : at + TOGETHER + words - 1], words))
+
+
+def _shingle(words: np.ndarray) -> np.ndarray:
+    """The hashes of shingles, a row of word hashes each."""
+    return mixed((words * TIMES[: words.shape[1]]).sum(axis=1, dtype=np.uint64) + np.uint64(words.shape[1]))
+
+
+SHIFT = np.uint64(64 - (BINS - 1).bit_length())
+REST = np.uint64((1 << int(SHIFT)) - 1)
+
+
+def minima(texts: list[bytes]) -> np.ndarray:
+    """A row of BINS minima per text, FULL where a bin is empty."""
     of, h = shingle_hashes(texts)
     least = np.full(len(texts) * BINS, FULL, np.uint64)
-    shift = np.uint64(64 - (BINS - 1).bit_length())
-    np.minimum.at(least, of * BINS + (h >> shift).astype(np.int64), h & np.uint64((1 << int(shift)) - 1))
-    least = least.reshape(len(texts), BINS)
+    np.minimum.at(least, of * BINS + (h >> SHIFT).astype(np.int64), h & REST)
+    return least.reshape(len(texts), BINS)
+
+
+def long_minima(text: bytes) -> np.ndarray:
+    """minima() of one long text, block by block."""
+    least = np.full(BINS, FULL, np.uint64)
+    for h in long_hashes(text):
+        np.minimum.at(least, (h >> SHIFT).astype(np.int64), h & REST)
+    return least[None, :]
+
+
+def densified(least: np.ndarray) -> np.ndarray:
+    """A row of BINS bytes per row of minima."""
     full, orders = least != FULL, borrow_orders()
     row, col = np.nonzero(~full)
     out = least.copy()
@@ -114,23 +172,33 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return (out & np.uint64(2**BITS - 1)).astype(np.uint8)
 
 
+def fingerprints(texts: list[bytes]) -> np.ndarray:
+    """A row of BINS bytes per text."""
+    return densified(minima(texts))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of rows of fingerprints, corrected for chance agreement."""
     chance = 2.0**-BITS
     return np.clip(((a == b).mean(axis=1) - chance) / (1 - chance), 0, 1)
 
 
-def in_chunks(texts: list[bytes]) -> np.ndarray:
-    """fingerprints() of many texts, some MB at a time."""
-    parts, part, size = [], [], 0
+def parted(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, some MB at a time, long ones alone."""
+    part, size = [], 0
     for t in texts:
+        if part and size + len(t) > TOGETHER:
+            yield part
+            part, size = [], 0
         part.append(t)
         size += len(t)
-        if size >= TOGETHER:
-            parts.append(fingerprints(part))
-            part, size = [], 0
     if part:
-        parts.append(fingerprints(part))
+        yield part
+
+
+def in_chunks(texts: list[bytes]) -> np.ndarray:
+    """fingerprints() of many texts."""
+    parts = [fingerprints(p) if len(p) > 1 or len(p[0]) <= TOGETHER else densified(long_minima(p[0])) for p in parted(texts)]
     return np.concatenate(parts) if parts else np.empty((0, BINS), np.uint8)
 
 
@@ -149,30 +217,45 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) sorted by doc_id within partitions that are ranges of doc_id, each followed by
-    the first of the next range, marked ahead; the last range by the first of all. Ties go by text; a
-    null doc_id comes first. No more than a document per range travels twice."""
+    the first of the next range, marked ahead; the last range by the first of all. Ties go by a hash of the
+    text; a null doc_id comes first. An id that fills several ranges is dealt out by that hash as well, so many
+    texts of one id, or of none, are several tasks. No more than a document per range travels twice."""
     spark = docs.sparkSession
-    place = F.coalesce("doc_id", F.lit(-(2**63)))
+    place, mark = F.coalesce("doc_id", F.lit(-(2**63))), F.xxhash64("text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(place.alias("place"))
-    cuts = ids.agg(F.percentile_approx("place", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("cuts")).first()["cuts"] or []
-    cuts = np.unique(np.array(cuts[: n - 1], np.int64))  # a number per partition
+    ids = docs.select(place.alias("place"), mark.alias("mark"))
+    found = ids.agg(F.percentile_approx("place", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("cuts")).first()["cuts"] or []
+    values, times = np.unique(np.array(found[: n - 1], np.int64), return_counts=True)  # a number per partition
+    # a cut is a place and a mark: rows up to a value's first cut come before it, and a value of m cuts takes m - 1 parts more
+    cuts = [(int(v), int(m)) for v, t in zip(values, times, strict=True) for m in np.linspace(-(2.0**63), 2.0**63, t + 1)[:-1].tolist()]
+    of_place, of_mark = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], float)
+
+    def part_of(place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(of_place, place, "left"), np.searchsorted(of_place, place, "right")
+        out = low.copy()
+        for v in np.unique(place[high > low]):
+            own = place == v
+            a, b = np.searchsorted(of_place, [v, v], "left")[0], np.searchsorted(of_place, v, "right")
+            out[own] = a + np.searchsorted(of_mark[a:b], mark[own].astype(float), "right")
+        return out
 
     @F.pandas_udf("int")
-    def range_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, place.to_numpy(), "right").astype(np.int32))
+    def range_of(place: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series(part_of(place.to_numpy(), mark.to_numpy()).astype(np.int32))
 
-    firsts = sorted((r["range"], r["first"]) for r in ids.groupBy(range_of("place").alias("range")).agg(F.min("place").alias("first")).collect())  # a row per partition
+    key = F.struct("place", "mark")
+    first_of = ids.groupBy(range_of("place", "mark").alias("range")).agg(F.min(key).alias("first")).collect()  # a row per partition
+    firsts = sorted((r["range"], tuple(r["first"])) for r in first_of)
     before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
 
     @F.pandas_udf("array<int>")
-    def ranges_of(place: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, place.to_numpy(), "right")
-        return pd.Series([[int(p), before[i]] if i in before else [int(p)] for p, i in zip(own, place, strict=True)])
+    def ranges_of(place: pd.Series, mark: pd.Series) -> pd.Series:
+        own = part_of(place.to_numpy(), mark.to_numpy())
+        return pd.Series([[int(p), before[i, m]] if (i, m) in before else [int(p)] for p, i, m in zip(own, place, mark, strict=True)])
 
-    dealt = docs.select("doc_id", "text", F.posexplode(ranges_of(place)).alias("ahead", "range"))
+    dealt = docs.select("doc_id", "text", F.posexplode(ranges_of(place, mark)).alias("ahead", "range"))
     dealt = dealt.repartitionById(len(cuts) + 1, F.col("range")).select("doc_id", "text", (F.col("ahead") == 1).alias("ahead"))
-    return dealt.sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return dealt.sortWithinPartitions("ahead", place, mark, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
