@@ -22,9 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
         if told["n"] == 0 or tuple(told) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         seen = tuple(told)
-        spent = [path, shared.new_path(spark, "least")]
+        spent = [path, *(shared.new_path(spark, label) for label in ("least", "stars", "least"))]
         path = shared.new_path(spark, "edges")
-        now = shared.written(_small_star(_large_star(now, spent[1])), "edges", path)
+        stars = shared.written(_large_star(now, spent[1]), "stars", spent[2])
+        now = shared.written(_small_star(stars, spent[3]), "edges", path)
         for old in spent:
             shared.removed(spark, old)
 
@@ -37,8 +38,9 @@ def _large_star(edges: DataFrame, path: str) -> DataFrame:
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node's smaller neighbours and itself go to the least of them. Edges lead from a to a smaller b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+def _small_star(edges: DataFrame, path: str) -> DataFrame:
+    """Each node's smaller neighbours and itself go to the least of them. Edges (a written table) lead from a to a
+    smaller b. The least nodes become a table at `path`, as above."""
+    least = shared.written(edges.groupBy("a").agg(F.min("b").alias("least")), "least", path)
     others = edges.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return others.union(least.select("a", F.col("least").alias("b"))).distinct()
