@@ -8,7 +8,8 @@ overlapping windows take a whole passage out. Copies within one text count as we
 
 Texts of fewer than three lines, null and empty texts stay as they are. Rows of one id and different
 texts are ordered by a hash of the text; rows that are equal throughout are one document and come
-out alike. A null id comes first.
+out alike. A null id comes first. A very long text needs memory in proportion to itself in one task. An
+empty table gives no rows. Columns of any name pass through, but for those called like new ones.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     later = found.join(repeated, "hash").where(~place.eqNullSafe(F.col("origin")))
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))
     cuts = later.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(covered.alias("_cut"))  # within one document
-    joined = row.join(cuts.hint("shuffle_hash"), id_.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    joined = row.join(cuts, id_.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
     cut = shared.let(lines, lambda own: F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n"))
     done = joined.select(
