@@ -2,7 +2,7 @@
 
 Null texts count as empty; an empty text has no ids. Rows with equal ids or texts are treated one by
 one. Long texts need memory in proportion to themselves. Columns besides the id and the text are
-left out, so their names never clash.
+left out, so their names never clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

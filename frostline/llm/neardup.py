@@ -14,7 +14,9 @@ for nodes with candidates only. Within a small bucket pairs are compared; a larg
 chunks, bounded in nodes and in shingles, that meet two by two and give back spanning forests (see
 simhash.py).
 Null, empty and blank texts are copies of each other. Of each group the row with the smallest id
-stays, of equal ids the one with the least text; null ids go last. Rows equal throughout leave one.
+stays, of equal ids the one with the least hash of the text; null ids go last. Rows equal throughout leave
+one. A very long text is hashed in blocks, its shingles are 8 bytes each. An empty table gives no rows.
+Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -61,14 +63,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted hashes of the different shingles of each text."""
     out: list[np.ndarray] = []
-    part, size = [], 0
-    for k, t in enumerate(texts):
-        part.append(t)
-        size += len(t)
-        if size >= minhash.TOGETHER or k == len(texts) - 1:
-            of, h = minhash.shingle_hashes(part, WORDS)
-            out += map(np.unique, np.split(h[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(part)))[:-1]))
-            part, size = [], 0
+    for part in minhash.parted(texts):
+        if len(part) == 1 and len(part[0]) > minhash.TOGETHER:
+            out.append(np.unique(np.concatenate([np.unique(h) for h in minhash.long_hashes(part[0], WORDS)])))
+            continue
+        of, h = minhash.shingle_hashes(part, WORDS)
+        out += map(np.unique, np.split(h[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(part)))[:-1]))
     return out
 
 
@@ -204,7 +204,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay = groups(signed, docs, id_col, text_col).groupBy("group").agg(F.min(order).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.key").alias("_key"))
     row = docs.select(F.struct("*").alias("_row"))  # whatever the columns are called, they don't clash below
     same = F.col("_row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row")[text_col]) == F.col("_key"))
-    kept = row.join(stay.hint("shuffle_hash"), same, "left_semi").select("_row.*")
+    kept = row.join(stay, same, "left_semi").select("_row.*")
     if signed.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_col, text_col])

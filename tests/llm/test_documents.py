@@ -56,6 +56,34 @@ def test_minhash_of_messy_rows(messy, empty, spark) -> None:  # noqa: ANN001
     assert alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and alone.near_next == 1.0
 
 
+def test_long_texts_are_hashed_in_blocks(monkeypatch: pytest.MonkeyPatch) -> None:
+    """Blocks that cut words and shingles anywhere give the minima of the whole text."""
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"ab  \n\tAB", k=rng.randint(0, 900))) for _ in range(60)] + [b"x" * 700, b" " * 700, b"y" * 50 + b" " + b"z" * 600, b"a b c " + b"d" * 500]
+    whole = [minhash.minima([t]) for t in texts]
+    sets = neardup.shingle_sets(texts)
+    monkeypatch.setattr(minhash, "TOGETHER", 40)
+    assert all((minhash.long_minima(t) == w).all() for t, w in zip(texts, whole, strict=True))
+    assert (minhash.in_chunks(texts) == minhash.densified(np.concatenate(whole))).all()
+    assert all((a == b).all() for a, b in zip(neardup.shingle_sets(texts), sets, strict=True))
+
+
+def test_rows_of_one_id_are_several_tasks(spark) -> None:  # noqa: ANN001
+    rows = [(7, f"hot {k} " + "w " * (k % 9)) for k in range(600)] + [(None, f"none {k}") for k in range(300)] + [(k, f"own {k}") for k in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        sizes = [r.n for r in minhash.with_next(docs).where("NOT ahead").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(sizes) == len(rows) and max(sizes) < 0.2 * len(rows)
+    order = [r.text for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()]
+    want = {t: hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest() for t, after in zip(order, order[1:] + order[:1], strict=True)}
+    got = minhash.with_edited(docs).collect()
+    assert len(got) == len(rows) and sorted(r.edited_sha256 for r in got) == sorted(want.values())
+
+
 def test_densified_minima_estimate_similarity() -> None:
     rng = random.Random(1)
     for n, share in ((30, 0.5), (400, 0.8), (2000, 0.3)):
@@ -337,6 +365,23 @@ def test_language_of_messy_rows(messy, empty, spark) -> None:  # noqa: ANN001
     assert langid.learn(unlabelled) == {}
 
 
+def test_samples_are_whole_texts_of_bounded_rows(spark) -> None:  # noqa: ANN001
+    rows = [(k, f"{'ab'[k % 2]}word{k} " * (1 + k % 5), "ab"[k % 2]) for k in range(2000)] + [(k, "z" * 10_000, "a") for k in range(2000, 2050)]
+    rows += [(3000 + k, "q" * (5000 + k), "long") for k in range(10)] + [(k % 20 + 5000, f"hot {k % 20}", "hot") for k in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    got = langid.learn(docs, sample_rows=12, longest=60)
+    texts = {t: (d, n) for d, t, n in rows if d in learned and len(t) <= 60}
+    for name in "ab":
+        parts = re.findall(rf"(?:{name}word(\d+) ?)+", got[name])
+        assert len(set(parts)) == 12 and all(texts[f"{name}word{k} " * (1 + int(k) % 5)] == (int(k), name) for k in parts)
+        assert sum(len(f"{name}word{k} " * (1 + int(k) % 5)) for k in set(parts)) + 11 == len(got[name])
+    assert got["long"] == "q" * min(len(t) for d, t, n in rows if n == "long" and d in learned)
+    assert set(got["hot"].split("hot ")) - {""} == {f"{k}{' ' * e}" for k in range(20) if k + 5000 in learned for e in (0, 1)} & set(got["hot"].split("hot ")) and len(got["hot"].split("hot ")) == 13
+    with pytest.raises(ValueError, match="different labels"):
+        langid.learn(docs, most_languages=3)
+
+
 def test_groups_of_links() -> None:
     prints = np.zeros((5, minhash.BINS), np.uint8)
     prints[3:] = np.arange(minhash.BINS, dtype=np.uint8)

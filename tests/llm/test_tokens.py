@@ -12,6 +12,7 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from frostline.llm import bpe, encoding, packing, shared, tokenfile
@@ -158,6 +159,27 @@ def test_token_files(spark, messy, empty) -> None:  # noqa: ANN001
     assert tokenfile.read(spark, tokenfile.write(empty, shared.new_path(spark, "files"), TOKENIZER)).collect() == []
 
 
+def test_any_number_of_documents_is_found(spark) -> None:  # noqa: ANN001
+    """More ids than any list on the driver should hold, repeated, null and unknown ones among them."""
+    docs = spark.range(0, 3000, 3).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    docs = docs.union(spark.createDataFrame([(9, "again"), (None, "no id")] + [(12, f"hot {k}") for k in range(500)], "doc_id bigint, text string"))
+    manifest = tokenfile.write(docs, shared.new_path(spark, "files"), TOKENIZER)
+    asked = spark.range(-1000, 150_000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN 9 ELSE id END AS `an id`")
+    wanted = {r[0] for r in asked.collect()}
+    got = sorted((r.doc_id, r.ids) for r in tokenfile.find(spark, manifest, asked).collect())
+    assert got == sorted((r.doc_id, [*ids_of(r.text), 2]) for r in docs.collect() if r.doc_id in wanted and r.doc_id is not None)
+
+
+def test_pieces_of_one_id_are_several_tasks(spark) -> None:  # noqa: ANN001
+    """A third of the rows have one id, a third none: ranks within a length come from salted groups all the same."""
+    docs = spark.createDataFrame([(5 if k % 3 else None, f"a b {k % 4}") for k in range(900)], "doc_id bigint, text string")
+    rows = packing.pack_documents(docs, TOKENIZER, capacity=20).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 900 and len({r.sequence_id for r in rows}) == 180
+    pieces = packing.cut(docs, TOKENIZER, 20, 0).withColumn("number", F.monotonically_increasing_id()).cache()
+    plan = packing.pack(pieces, 20)._jdf.queryExecution().toString()
+    assert "xxhash64(number" in plan
+
+
 def test_file_is_plain_zstandard_and_damage_is_found(tmp_path) -> None:  # noqa: ANN001
     path = str(tmp_path / "t.zst")
     fs = pyarrow.fs.LocalFileSystem()
