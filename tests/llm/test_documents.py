@@ -304,18 +304,60 @@ def test_licenses_of_messy_rows(messy, empty) -> None:  # noqa: ANN001
 
 
 def test_containment_is_exact(spark) -> None:  # noqa: ANN001
-    """Every prefix of every template, whole and with other words between, is found from its threshold on."""
+    """Every prefix of every template, whole and with other words between, in a line or over lines, is found from its
+    threshold on, unless a template like it is better."""
+    listed = licenses.Templates(licenses.TEMPLATES).rows
     rows, want = [], {}
-    for label, lines, own in licenses.template_words():
+    for _, _, _, own in listed:
         for n in range(len(own) + 1):
-            key = len(rows)
             block = [w for k, w in enumerate(own[:n]) for w in ([w, f"zz{k}"] if n % 2 else [w])]
-            rows.append((key, " ".join(block) if lines or n % 3 else "\n".join(block)))
-            want[key] = n >= licenses.needed(len(own)), label
-    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    for key, (hit, label) in want.items():
-        if hit:
-            assert label in got[key]
+            rows.append((len(rows), " ".join(block) if n % 3 else "\n".join(block)))
+            best = sorted(((len(set(own[:n]) & set(t)) / len(t), len(t), label) for _, label, o, t in listed if len(set(own[:n]) & set(t)) >= o), reverse=True)
+            want[len(rows) - 1] = best[0] if best else None
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for key, best in want.items():
+        if best is None:
+            assert got[key].labels == "" or got[key].n_base
+        else:
+            assert best[2] in got[key].labels.split(",") and got[key].score in (best[0], 1.0)
+
+
+def test_templates_are_a_table(spark) -> None:  # noqa: ANN001
+    docs = spark.createDataFrame([(1, "Use it as you LIKE, Ünder no terms"), (2, "Permission is hereby granted")], "doc_id bigint, text string")
+    table = spark.createDataFrame([("own", "use it as you like"), ("own", "use it as you like"), (None, "x"), ("none", None), ("empty", " .")], "label string, text string")
+    assert [r.labels for r in licenses.scan(docs, table).orderBy("doc_id").collect()] == ["own", ""]
+    assert [r.labels for r in licenses.scan(docs, table.limit(0)).orderBy("doc_id").collect()] == ["", ""]
+
+
+def test_only_ascii_letters_are_lower_cased(spark) -> None:  # noqa: ANN001
+    docs = spark.createDataFrame([(1, "CC BY NC"), (2, "cc by n\u212a cc by nc"), (3, "\u0130 cc")], "doc_id bigint, text string")
+    assert [(r.n_words, r.n_base) for r in licenses.scan(docs).orderBy("doc_id").collect()] == [(3, 1), (6, 1), (2, 0)]
+    assert spark.range(1).select(licenses.padded(F.lit("ÀB-c"))).first()[0] == " Àb c "
+
+
+NOTICES = {
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.",
+    "mit": "// SPDX-License-Identifier: MIT",
+    "apache-2,mit": "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */",
+    "gpl,zlib": "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND Zlib\nprose",
+    "cc-by-nc": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+}
+
+
+def test_notices_get_the_most_specific_label(spark, tmp_path) -> None:  # noqa: ANN001
+    rows = [(k, f"{'some text before' if k % 2 else ''}\n\n{t}\n\nafter") for k, t in enumerate(NOTICES.values())]
+    rows += [(90, "This work is licensed under the GNU\nGeneral Public License, version 3."), (91, None), (92, "This work is licensed under the GNU Affero General Public License")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op9_licenses(spark, str(tmp_path)).collect()}
+    assert [got[k].labels for k in range(len(NOTICES))] == list(NOTICES)
+    assert (got[90].labels, got[91].labels, got[92].labels) == ("gpl", "", "agpl") and got[4].score == 1.0
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    assert {r[0]: r[6:8] for r in con.execute(licenses.sql()).fetchall()} == {k: (r.labels, r.score) for k, r in got.items()}
 
 
 def longest_phrases(text: list[int], sample: list[int]) -> int:
