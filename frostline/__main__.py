@@ -25,7 +25,9 @@ def main(argv: list[str] | None = None) -> None:
     build.add_argument("--input", help="instead of the profile's path")
     build.add_argument("--memory", help="driver memory, such as 8g")
     build.add_argument("--threads", type=int, help="local threads, where no cluster is configured")
-    build.add_argument("--postings", action="store_true")
+    build.add_argument("--postings", action="store_true", help="a table of the documents of each token")
+    build.add_argument("--bins", action="store_true", help="quantile bins of numbers")
+    build.add_argument("--keep", type=int, default=2, help="versions that stay")
     serve = commands.add_parser("serve")
     serve.add_argument("paths", nargs="*", default=["data_out"])
     serve.add_argument("--http-addr", default="127.0.0.1:3001")
@@ -37,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
         builder = builder.config("spark.driver.memory", given.memory) if given.memory else builder
         spark = (builder.master(f"local[{given.threads}]") if given.threads else builder).getOrCreate()
         own = profile.load(given.profile)
-        done = stage.build(spark, replace(own, path=given.input) if given.input else own, given.output, given.postings)
+        done = stage.build(spark, replace(own, path=given.input) if given.input else own, given.output, given.postings, given.bins, given.keep)
         logging.info("%s: %d documents", own.collection, done.size)
         return
     spark = builder.getOrCreate()

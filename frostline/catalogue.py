@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline import server, storage
 from frostline.functions import geo, textnorm, values
 from frostline.operators import indexes, sets
 from frostline.plans import render
-from frostline.plans.catalog import Collection
+from frostline.plans.catalog import Catalog, Collection, open_collection
 from frostline.plans.search import matches, nearest, search
-from frostline.plans.stage import POINT, POLYGON, Staged, derived, stage
+from frostline.plans.stage import POINT, POLYGON, Staged, build, derived, stage
 from frostline.sources import readers
 from frostline.sources.profile import Index, Profile
 
@@ -57,6 +60,19 @@ def staged(spark: SparkSession, sf_dir: str, name: str) -> Staged:
     return stage(readers.source(spark, p.query, sf_dir), p, KINDS.get(name))
 
 
+_built: dict[tuple[str, str, str], Collection] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str) -> Collection:
+    """The collection, built with postings and bins once per session, as readers open it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        home = f"{storage.new_path(spark, 'built')}/{name}"
+        build(spark, replace(PROFILES[name], path=sf_dir, query=PROFILES[name].query.replace("{path}", sf_dir)), home, with_postings=True, with_bins=True)
+        _built[key] = open_collection(spark, home)
+    return _built[key]
+
+
 def add(name: str, sql: str | None) -> Callable[[Query], Query]:
     def put(query: Query) -> Query:
         _queries[name] = query
@@ -67,9 +83,14 @@ def add(name: str, sql: str | None) -> Callable[[Query], Query]:
     return put
 
 
-def condition(name: str, table: str, columns: str, sql_where: str, sql_from: str | None = None, **conditions: object) -> None:
-    """A query for all rows that meet the conditions."""
-    add(name, f"SELECT {columns} FROM {sql_from or table} WHERE {sql_where}")(lambda spark, sf: matches(rows(spark, sf, table), **conditions)[0].select(*(c.strip() for c in columns.split(","))))
+def condition(name: str, table: str, columns: str, sql_where: str, sql_from: str | None = None, of_built: bool = False, **conditions: object) -> None:
+    """A query for all rows that meet the conditions, over a built collection or over rows as they come."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        over = built(spark, sf, table).staged if of_built else rows(spark, sf, table)
+        return matches(over, **conditions)[0].select(*(c.strip() for c in columns.split(",")))
+
+    add(name, f"SELECT {columns} FROM {sql_from or table} WHERE {sql_where}")(query)
 
 
 ORDER = "o_orderkey, o_orderstatus, o_orderpriority, o_totalprice"
@@ -115,15 +136,16 @@ def _either(prefix: str) -> str:
     return f"({_starts('tokens', prefix)} OR {_starts('sources', prefix)})"
 
 
-condition("txt_prefix", "documents", "doc_id, lang", _either("erth"), TOKENISED, q="erth")
-condition("txt_multiword", "documents", "doc_id, lang", f"{_either('be')} AND {_either('thin')}", TOKENISED, q="Be  thin!")
-condition("txt_stopwords", "documents", "doc_id, lang", f"{_starts('sources', 'the')} AND {_either('and')}", TOKENISED, q="the and")
-condition("txt_multifield", "documents", "doc_id, source", f"{_either('src1')} AND {_either('und')}", TOKENISED, q="src1 und")
-condition("txt_accent", "documents", "doc_id, lang", _either("eau"), TOKENISED, q="ÉAU")
-condition("txt_no_match", "documents", "doc_id", "false", TOKENISED, q="zzzzzz")
-condition("txt_empty_query", "documents", "doc_id", "false", TOKENISED, q=" ")
-condition("txt_empty_word", "documents", "doc_id", "len(tokens) > 0 OR len(sources) > 0", TOKENISED, q="!!!")
-condition("txt_filter_combo", "documents", "doc_id, lang, n_chars", f"{_either('en')} AND lang IN ('fr', 'es') AND n_chars >= 1000", TOKENISED, q="en", filter_by="lang:[fr,es] && n_chars:>=1000")
+condition("txt_prefix", "documents", "doc_id, lang", _either("erth"), TOKENISED, True, q="erth")
+condition("txt_multiword", "documents", "doc_id, lang", f"{_either('be')} AND {_either('thin')}", TOKENISED, True, q="Be  thin!")
+condition("txt_stopwords", "documents", "doc_id, lang", f"{_starts('sources', 'the')} AND {_either('and')}", TOKENISED, True, q="the and")
+condition("txt_multifield", "documents", "doc_id, source", f"{_either('src1')} AND {_either('und')}", TOKENISED, True, q="src1 und")
+condition("txt_accent", "documents", "doc_id, lang", _either("eau"), TOKENISED, True, q="ÉAU")
+condition("txt_no_match", "documents", "doc_id", "false", TOKENISED, True, q="zzzzzz")
+condition("txt_empty_query", "documents", "doc_id", "false", TOKENISED, True, q=" ")
+condition("txt_empty_word", "documents", "doc_id", "len(tokens) > 0 OR len(sources) > 0", TOKENISED, True, q="!!!")
+condition("txt_filter_combo", "documents", "doc_id, lang, n_chars", f"{_either('en')} AND lang IN ('fr', 'es') AND n_chars >= 1000", TOKENISED, True, q="en", filter_by="lang:[fr,es] && n_chars:>=1000")
+condition("txt_unbuilt", "documents", "doc_id, lang", _either("thin"), TOKENISED, q="thin")
 condition("txt_two_fields", "part", "p_partkey", f"({_starts('names', 'red')} OR {_starts('types', 'red')})", PARTS, q="red")
 
 
@@ -132,10 +154,21 @@ def _text_and_range(spark: SparkSession, sf: str) -> DataFrame:
     return search(staged(spark, sf, "part"), q="red", filter_by="p_retailprice:>=905").select("p_partkey", "p_name", "p_brand", "p_retailprice")
 
 
+@add("txt_token_scan", f"SELECT doc_id, lang FROM {TOKENISED} WHERE {_either('erth')} AND {_either('and')}")
+def _text_by_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return matches(replace(built(spark, sf, "documents").staged, postings=None), q="erth and")[0].select("doc_id", "lang")
+
+
 @add("txt_postings", f"SELECT doc_id, lang FROM {TOKENISED} WHERE {_either('erth')} AND {_either('and')}")
 def _text_by_postings(spark: SparkSession, sf: str) -> DataFrame:
-    s = staged(spark, sf, "documents")
-    return matches(Staged(s.rows, s.profile, postings=indexes.postings(s.rows, ["text", "source"])), q="erth and")[0].select("doc_id", "lang")
+    return matches(built(spark, sf, "documents").staged, q="erth and")[0].select("doc_id", "lang")
+
+
+WORLD = ("Привет, мир", "Ελληνική Δημοκρατία", "北京大学 学报", "Щука и ёж", "हिन्दी भाषा", "Ｆｕｌｌ ١٢٣")
+WORLD_QUERY = "SELECT p_partkey, CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(WORLD)) + " ELSE p_name END AS words FROM read_parquet('{path}/part.parquet')"
+PROFILES["world"] = profile("world", "p_partkey", ["p_partkey", "words"], [Index("words", "text")], WORLD_QUERY)
+for _name, _q, _rest in (("cyrillic", "ПРИВЕТ мир", 0), ("spelt", "shchuka", 3), ("greek", "Δημοκ", 1), ("cjk", "北京 学报", 2), ("indic", "भाषा", 4), ("digits", "full 12", 5)):
+    condition(f"txt_{_name}", "world", "p_partkey", f"p_partkey % 7 = {_rest}", "part", q=_q)
 
 
 @add("fn_slugify", f"SELECT doc_id, {SLUG.format('text')} AS slug FROM documents")
@@ -270,6 +303,48 @@ def _polygons_in_box(spark: SparkSession, sf: str) -> DataFrame:
     return matches(rows(spark, sf, "tiles"), min_lon=2.275, max_lon=2.33, min_lat=48.805, max_lat=48.845)[0].select("n_nationkey", "n_name")
 
 
+CONCAVE = f"""
+    SELECT n_nationkey, st_geomfromtext(concat('MULTIPOLYGON(((', x, ' ', y, ', ', x + 2e-2, ' ', y, ', ', x + 2e-2, ' ', y + 1e-2, ', ', x + 1e-2, ' ', y + 1e-2, ', ', x + 1e-2, ' ', y + 5e-3, ', ', x, ' ', y + 5e-3, ', ', x, ' ', y,
+      '),(', x + 15e-3, ' ', y + 2e-3, ', ', x + 18e-3, ' ', y + 2e-3, ', ', x + 18e-3, ' ', y + 8e-3, ', ', x + 15e-3, ' ', y + 8e-3, ', ', x + 15e-3, ' ', y + 2e-3,
+      ')), ((', x + 2e-3, ' ', y + 7e-3, ', ', x + 4e-3, ' ', y + 7e-3, ', ', x + 4e-3, ' ', y + 9e-3, ', ', x + 2e-3, ' ', y + 7e-3, ')))')) AS geom
+    FROM (SELECT *, {WEST} AS x, {SOUTH} AS y FROM read_parquet('{{path}}/nation.parquet'))"""
+#: Places in a tile: in the foot of an L, in its notch, in its hole, in its arm, in the triangle beside it, left of that.
+PLACES = {"foot": (2.313, 48.822), "notch": (2.316, 48.8275), "hole": (2.326, 48.825), "arm": (2.322, 48.8275), "triangle": (2.3137, 48.828), "beside": (2.3122, 48.8288)}
+_u, _v = "({0} - x)", "({1} - y)"
+WITHIN = f"""({_u} BETWEEN 0 AND 2e-2 AND {_v} BETWEEN 0 AND 5e-3 OR {_u} BETWEEN 1e-2 AND 2e-2 AND {_v} BETWEEN 5e-3 AND 1e-2) AND NOT ({_u} BETWEEN 15e-3 AND 18e-3 AND {_v} BETWEEN 2e-3 AND 8e-3)
+  OR {_v} BETWEEN 7e-3 AND 9e-3 AND {_u} <= 4e-3 AND {_u} - 2e-3 >= {_v} - 7e-3"""
+
+
+@add("poly_concave", "SELECT n_nationkey, " + ", ".join(f"{WITHIN.format(f'{lon}::DOUBLE', f'{lat}::DOUBLE')} AS {name}" for name, (lon, lat) in PLACES.items()) + f" FROM {TILES}")
+def _concave(spark: SparkSession, sf: str) -> DataFrame:
+    shapes = readers.source(spark, CONCAVE, sf)
+    return shapes.select("n_nationkey", *(geo.contains(F.col("geom"), lon, lat).alias(name) for name, (lon, lat) in PLACES.items()))
+
+
+#: Well-known text and GeoJSON of each kind of shape, # standing for a number.
+SHAPES = [
+    ("POINT(# 1)", '{"type":"Point","coordinates":[#,1.0]}'),
+    ("SRID=4326; LINESTRING (# 0, 1 1)", '{"type":"LineString","coordinates":[[#,0.0],[1.0,1.0]]}'),
+    ("POLYGON((# 0, 4 0, 4 4, # 0),(1 1, 2 1, 2 2, 1 1))", '{"type":"Polygon","coordinates":[[[#,0.0],[4.0,0.0],[4.0,4.0],[#,0.0]],[[1.0,1.0],[2.0,1.0],[2.0,2.0],[1.0,1.0]]]}'),
+    ("MULTIPOINT(# 2, 3 4)", '{"type":"MultiPoint","coordinates":[[#,2.0],[3.0,4.0]]}'),
+    ("MULTIPOINT Z ((# 2 9), (3 4 9))", '{"type":"MultiPoint","coordinates":[[#,2.0],[3.0,4.0]]}'),
+    ("MULTILINESTRING((# 0,1 1),(2 2,3 3,4 4))", '{"type":"MultiLineString","coordinates":[[[#,0.0],[1.0,1.0]],[[2.0,2.0],[3.0,3.0],[4.0,4.0]]]}'),
+    ("MULTIPOLYGON(((# 2,3 2,3 3,# 2)),((10 10,11 10,11 11,10 10)))", '{"type":"MultiPolygon","coordinates":[[[[#,2.0],[3.0,2.0],[3.0,3.0],[#,2.0]]],[[[10.0,10.0],[11.0,10.0],[11.0,11.0],[10.0,10.0]]]]}'),
+    ("GEOMETRYCOLLECTION(POINT(# 2), LINESTRING(1 1, 2 2))", '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[#,2.0]},{"type":"LineString","coordinates":[[1.0,1.0],[2.0,2.0]]}]}'),
+    ("POLYGON EMPTY", '{"type":"Polygon","coordinates":[]}'),
+]
+
+
+def _shape(k: int, number: str) -> str:
+    return " ".join(f"WHEN {i} THEN replace('{s[k]}', '#', {number})" for i, s in enumerate(SHAPES))
+
+
+@add("geo_shapes", f"SELECT n_nationkey, CASE n_nationkey % {len(SHAPES)} {_shape(1, 'n_nationkey::DOUBLE::VARCHAR')} END AS shape, CASE n_nationkey % {len(SHAPES)} {_shape(1, 'n_nationkey::DOUBLE::VARCHAR')} END AS by_wkb FROM nation")
+def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    found = readers.source(spark, f"SELECT n_nationkey, g, st_geomfromwkb(st_aswkb(g)) AS h FROM (SELECT n_nationkey, st_geomfromtext(CASE n_nationkey % {len(SHAPES)} {_shape(0, 'CAST(n_nationkey AS STRING)')} END) AS g FROM read_parquet('{{path}}/nation.parquet'))", sf)
+    return found.select("n_nationkey", geo.geojson(F.col("g")).alias("shape"), geo.geojson(F.col("h")).alias("by_wkb"))
+
+
 def _groups(order: str, where: str, n: int, source: str = PLACED) -> str:
     return f"SELECT c_mktsegment, c_custkey, distance FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {order}, id) AS k FROM (SELECT *, round({{0}}, 3) AS distance FROM {source}) WHERE {where}) WHERE k <= {n}"
 
@@ -387,6 +462,76 @@ def _keys(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("event_id", *(values.key(F.col(c), kinds[c]).alias(n) for c, n in (("ts", "time_key"), ("whole", "floor_key"), ("event_id", "id_key"))))
 
 
+def _asked(spark: SparkSession, sf: str, name: str, target: str) -> str:
+    """The body that the server gives for a path, with a catalog of one built collection."""
+    catalog = Catalog(spark, [])
+    catalog.collections = {name: built(spark, sf, name)}
+    status, _, body = server.respond(catalog, target)
+    if status != 200:
+        raise ValueError(f"{target}: {status}")
+    return "".join(body)
+
+
+@add("http_search", f"SELECT p_partkey, p_name, p_size FROM {PARTS} WHERE ({_starts('names', 'red')} OR {_starts('types', 'red')}) AND p_size BETWEEN 10 AND 20 ORDER BY p_partkey LIMIT 15")
+def _search_over_http(spark: SparkSession, sf: str) -> DataFrame:
+    found = json.loads(_asked(spark, sf, "part", "/part/search?q=Red&filter=p_size:%5B10..20%5D&top_n=15&output=json"))
+    return spark.createDataFrame([(d["p_partkey"], d["p_name"], d["p_size"]) for d in found], "p_partkey long, p_name string, p_size int")
+
+
+@add("http_nearest", f"SELECT c_custkey, round({NEAR}, 3) AS distance FROM {PLACED} WHERE c_mktsegment <> 'BUILDING' ORDER BY {NEAR}, id LIMIT 12")
+def _nearest_over_http(spark: SparkSession, sf: str) -> DataFrame:
+    found = json.loads(_asked(spark, sf, "customer", f"/customer/search?lat={CENTRE[0]}&lon={CENTRE[1]}&top_n=12&filter_by=c_mktsegment:!=BUILDING"))
+    return spark.createDataFrame([(f["properties"]["c_custkey"], round(f["properties"]["__distance"], 3)) for f in found["features"]], "c_custkey long, distance double")
+
+
+@add("http_get", "SELECT row_number() OVER (ORDER BY p_partkey) AS id, p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 1")
+def _get_over_http(spark: SparkSession, sf: str) -> DataFrame:
+    key = spark.read.parquet(f"{sf}/part.parquet").agg(F.min("p_partkey")).first()[0]
+    d = json.loads(_asked(spark, sf, "part", f"/part/get/{key}"))
+    return spark.createDataFrame([(d["id"], d["p_partkey"], d["p_name"])], "id long, p_partkey long, p_name string")
+
+
+@add("http_health", "SELECT 'part' AS name, count(*) AS size, 5 AS n_indexes FROM part")
+def _health_over_http(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(d["name"], d["size"], len(d["indexes"])) for d in json.loads(_asked(spark, sf, "part", "/health"))], "name string, size long, n_indexes int")
+
+
+@add("built_box", f"SELECT c_custkey, c_name FROM {PLACED} WHERE lat BETWEEN 48.82 AND 48.85 AND lon BETWEEN 2.3 AND 2.35")
+def _box_of_built(spark: SparkSession, sf: str) -> DataFrame:
+    return matches(built(spark, sf, "customer").staged, min_lat=48.82, max_lat=48.85, min_lon=2.3, max_lon=2.35)[0].select("c_custkey", "c_name")
+
+
+@add("built_ids", "SELECT row_number() OVER (ORDER BY lat, lon, c_custkey) AS id, c_custkey FROM " + PLACED)
+def _ids_of_built(spark: SparkSession, sf: str) -> DataFrame:
+    return built(spark, sf, "customer").staged.rows.select(F.col("_doc_id").alias("id"), "c_custkey")
+
+
+@add("built_bins", "SELECT bin, count(*) AS n, round(max(value), 3) AS high FROM (SELECT value, len(list_filter(b, lambda x: x < value))::INTEGER AS bin FROM events, (SELECT quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS b FROM events)) GROUP BY bin")
+def _bins_of_built(spark: SparkSession, sf: str) -> DataFrame:
+    events = built(spark, sf, "events")
+    highest = events.staged.rows.groupBy(F.col("_bin_value").alias("bin")).agg(F.round(F.max("_num_value"), 3).alias("high"))
+    return events.bins("value").select("bin", "n").join(highest, "bin")
+
+
+def _copied(file_format: str, columns: str, call: str) -> Query:
+    """A source query over a copy of the parts in another format, in two folders that one call lists."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        home = storage.new_path(spark, file_format)
+        parts = spark.read.parquet(f"{sf}/part.parquet").selectExpr(*columns.split(", "))
+        for k in range(2):
+            writer = parts.where(F.col("p_partkey") % 2 == k).write
+            (writer.option("header", True).option("compression", "gzip") if file_format == "csv" else writer).format(file_format).save(f"{home}/{k}")
+        return readers.source(spark, f"SELECT {columns} FROM {call}(['{{path}}/0', '{{path}}/1'])", home)
+
+    return query
+
+
+for _format, _call in (("csv", "read_csv_auto"), ("json", "read_json"), ("orc", "read_orc")):
+    _columns = "p_partkey, p_name, p_size, p_retailprice"
+    add(f"src_{_format}", f"SELECT {_columns} FROM part")(_copied(_format, _columns, _call))
+
+
 HEALTH = ("part", "orders", "events", "documents", "customer")
 
 

@@ -1,7 +1,10 @@
 """Geometry: earth-centred coordinates, distances, polygons, WKT and WKB.
 
-A geometry is a struct of its kind and its vertices: polygons, rings, points. A point is one polygon
-of one ring of one vertex, a line one polygon of one ring. Coordinates are degrees, x the longitude."""
+A geometry is a struct of its kind and its vertices: parts, rings, points. A point is one part of one ring of
+one vertex, a line one part of one ring, a polygon one part of its rings; of several points, lines or
+polygons each is a part; of a collection the members' parts follow each other, and members tells each
+member's kind and number of parts. An empty geometry has no part. Coordinates are degrees, x the longitude;
+further dimensions and reference systems are dropped."""
 
 from __future__ import annotations
 
@@ -15,7 +18,8 @@ from pyspark.sql import functions as F
 RADIUS, MEAN_RADIUS, DEGREE = 6_371_000.0, 6_371_008.8, 111_320.0
 
 VERTEX = "STRUCT<x: DOUBLE, y: DOUBLE>"
-GEOMETRY = f"STRUCT<kind: STRING, parts: ARRAY<ARRAY<ARRAY<{VERTEX}>>>>"
+GEOMETRY = f"STRUCT<kind: STRING, parts: ARRAY<ARRAY<ARRAY<{VERTEX}>>>, members: ARRAY<STRUCT<kind: STRING, n: INT>>>"
+NO_MEMBERS = "CAST(NULL AS ARRAY<STRUCT<kind: STRING, n: INT>>)"
 
 
 def ecef(lon: Column, lat: Column) -> list[Column]:
@@ -116,15 +120,66 @@ def polygon_distance(geometry: Column, lon: float, lat: float) -> Column:
     return F.when(contains(geometry, lon, lat), F.lit(0.0)).otherwise(boundary_distance(geometry, lon, lat))
 
 
+#: Kinds of geometry by their number in well-known binary.
+KINDS = {1: "POINT", 2: "LINESTRING", 3: "POLYGON", 4: "MULTIPOINT", 5: "MULTILINESTRING", 6: "MULTIPOLYGON", 7: "GEOMETRYCOLLECTION"}
+NO_PARTS = f"CAST(array() AS ARRAY<ARRAY<ARRAY<{VERTEX}>>>)"
+
+
+def _parts(text: str, kind: str) -> str:
+    """SQL for the parts of a geometry that is no collection. text: SQL for its well-known text, blanks around brackets
+    and commas taken out."""
+    body = f"regexp_replace({text}, '^[^(]*\\\\(|\\\\)$', '')"
+
+    def vertex(v: str) -> str:
+        return f"named_struct('x', CAST(split({v}, ' +')[0] AS DOUBLE), 'y', CAST(split({v}, ' +')[1] AS DOUBLE))"
+
+    def ring(s: str) -> str:
+        return f"transform(split(regexp_replace({s}, '^\\\\(|\\\\)$', ''), ','), v -> {vertex('v')})"
+
+    def rings(s: str) -> str:
+        return f"transform(split({s}, '(?<=\\\\)),(?=\\\\()'), ring -> {ring('ring')})"
+
+    some = {
+        "POINT": f"array(array({ring(body)}))",
+        "LINESTRING": f"array(array({ring(body)}))",
+        "POLYGON": f"array({rings(body)})",
+        "MULTIPOINT": f"transform(filter(split({body}, ','), m -> NOT upper(m) LIKE '%EMPTY'), m -> array({ring('m')}))",
+        "MULTILINESTRING": f"transform({rings(body)}, line -> array(line))",
+        "MULTIPOLYGON": f"transform(split({body}, '(?<=\\\\)\\\\)),(?=\\\\(\\\\()'), polygon -> {rings("regexp_replace(polygon, '^\\\\(|\\\\)$', '')")})",
+    }
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in some.items())
+    return f"CASE WHEN upper({text}) LIKE '%EMPTY' THEN {NO_PARTS} ELSE CASE {kind} {cases} END END"
+
+
+def _from_text() -> str:
+    """SQL for the geometry of a well-known text; text that is none is an error that names it."""
+    number = r"[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?"
+    vertices = rf"{number}(?: {number}){{1,3}}(?:,{number}(?: {number}){{1,3}})*+"
+    line, points = rf"\\({vertices}\\)", rf"(?:\\({number}(?: {number}){{1,3}}\\)|{number}(?: {number}){{1,3}}|EMPTY)"
+    polygon = rf"\\({line}(?:,{line})*+\\)"
+    shape = "(?:" + "|".join([
+        rf"POINT(?: ?Z?M?)(?:\\({number}(?: {number}){{1,3}}\\)| ?EMPTY)", rf"LINESTRING(?: ?Z?M?)(?:{line}| ?EMPTY)", rf"POLYGON(?: ?Z?M?)(?:{polygon}| ?EMPTY)",
+        rf"MULTIPOINT(?: ?Z?M?)(?:\\({points}(?:,{points})*+\\)| ?EMPTY)", rf"MULTILINESTRING(?: ?Z?M?)(?:\\({line}(?:,{line})*+\\)| ?EMPTY)", rf"MULTIPOLYGON(?: ?Z?M?)(?:\\({polygon}(?:,{polygon})*+\\)| ?EMPTY)",
+    ]) + ")"
+    whole = rf"(?i)^(?:{shape}|GEOMETRYCOLLECTION(?: ?Z?M?)(?:\\({shape}(?:,{shape})*+\\)| ?EMPTY))$"
+
+    def kind(t: str) -> str:
+        return f"upper(regexp_extract({t}, '^(?i)(MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|POINT|LINESTRING|POLYGON|GEOMETRYCOLLECTION)', 1))"
+
+    body = "regexp_replace(t, '^[^(]*\\\\(|\\\\)$', '')"
+    members = f"CASE WHEN upper(t) RLIKE '^[A-Z ]+EMPTY$' THEN CAST(array() AS ARRAY<STRING>) ELSE split({body}, ',(?=[A-Za-z])(?!(?i)EMPTY)') END"
+    of_members = f"transform({members}, t -> named_struct('kind', {kind('t')}, 'parts', {_parts('t', kind('t'))}))"
+    one = f"named_struct('kind', {kind('t')}, 'parts', {_parts('t', kind('t'))}, 'members', {NO_MEMBERS})"
+    many = f"transform(array({of_members}), m -> named_struct('kind', 'GEOMETRYCOLLECTION', 'parts', coalesce(flatten(transform(m, x -> x.parts)), {NO_PARTS}), 'members', transform(m, x -> named_struct('kind', x.kind, 'n', size(x.parts)))))[0]"
+    plain = "trim(regexp_replace(regexp_replace(regexp_replace(wkt, '^\\\\s*(?i)SRID\\\\s*=\\\\s*\\\\d+\\\\s*;', ''), '\\\\s+', ' '), ' ?([(),]) ?', '$1'))"
+    told = f"CASE WHEN NOT t RLIKE '{whole}' THEN CAST(raise_error(concat('this is no well-known text: ', t)) AS {GEOMETRY}) WHEN {kind('t')} = 'GEOMETRYCOLLECTION' THEN {many} ELSE {one} END"
+    return f"CASE WHEN wkt IS NOT NULL THEN transform(array({plain}), t -> {told})[0] END"
+
+
 #: SQL functions for source queries. Names follow the usual spatial SQL.
 SQL_FUNCTIONS = {
-    "st_point(x DOUBLE, y DOUBLE)": (GEOMETRY, "CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN named_struct('kind', 'POINT', 'parts', array(array(array(named_struct('x', x, 'y', y))))) END"),
-    "st_geomfromtext(wkt STRING)": (
-        GEOMETRY,
-        r"""CASE WHEN wkt IS NOT NULL THEN named_struct('kind', upper(regexp_extract(wkt, '^\\s*([A-Za-z]+)', 1)), 'parts',
-            transform(split(regexp_replace(regexp_replace(regexp_replace(wkt, '^[^(]*', ''), '\\s*([(),])\\s*', '$1'), '^\\(+|\\)+$', ''), '\\)\\),\\(\\('), polygon ->
-              transform(split(polygon, '\\),\\('), ring -> transform(split(ring, ','), v -> named_struct('x', CAST(split(trim(v), '\\s+')[0] AS DOUBLE), 'y', CAST(split(trim(v), '\\s+')[1] AS DOUBLE)))))) END""",
-    ),
+    "st_point(x DOUBLE, y DOUBLE)": (GEOMETRY, f"CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN named_struct('kind', 'POINT', 'parts', array(array(array(named_struct('x', x, 'y', y)))), 'members', {NO_MEMBERS}) END"),
+    "st_geomfromtext(wkt STRING)": (GEOMETRY, _from_text()),
     f"st_x(g {GEOMETRY})": ("DOUBLE", "g.parts[0][0][0].x"),
     f"st_y(g {GEOMETRY})": ("DOUBLE", "g.parts[0][0][0].y"),
     f"st_geometrytype(g {GEOMETRY})": ("STRING", "g.kind"),
@@ -134,6 +189,8 @@ SQL_FUNCTIONS = {
 def register(spark: SparkSession) -> None:
     for signature, (kind, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
+    spark.udf.register("st_aswkb", F.udf(to_wkb, "binary", useArrow=True))
+    spark.udf.register("st_geomfromwkb", F.udf(from_wkb, GEOMETRY, useArrow=True))
 
 
 def from_wkb(data: bytes | None) -> dict | None:
@@ -144,6 +201,33 @@ def from_wkb(data: bytes | None) -> dict | None:
     return geometry
 
 
+def to_wkb(geometry: object) -> bytes | None:
+    """Well-known binary, little-endian, of a geometry."""
+    if geometry is None:
+        return None
+    kind, parts, members = geometry["kind"], geometry["parts"], geometry["members"]
+    number = next(n for n, k in KINDS.items() if k == kind)
+    head = struct.pack("<BI", 1, number)
+
+    def line(ring: list) -> bytes:
+        return struct.pack("<I", len(ring)) + b"".join(struct.pack("<dd", v["x"], v["y"]) for v in ring)
+
+    if kind == "POINT":
+        return head + (struct.pack("<dd", parts[0][0][0]["x"], parts[0][0][0]["y"]) if parts else struct.pack("<dd", math.nan, math.nan))
+    if kind == "LINESTRING":
+        return head + (line(parts[0][0]) if parts else struct.pack("<I", 0))
+    if kind == "POLYGON":
+        return head + (struct.pack("<I", len(parts[0])) + b"".join(map(line, parts[0])) if parts else struct.pack("<I", 0))
+    if kind == "GEOMETRYCOLLECTION":
+        ends = [0]
+        for m in members:
+            ends.append(ends[-1] + m["n"])
+        own = [{"kind": m["kind"], "parts": parts[a:b], "members": None} for m, a, b in zip(members, ends, ends[1:], strict=False)]
+    else:
+        own = [{"kind": kind.removeprefix("MULTI"), "parts": [p], "members": None} for p in parts]
+    return head + struct.pack("<I", len(own)) + b"".join(map(to_wkb, own))
+
+
 def _read_wkb(data: bytes, at: int) -> tuple[dict, int]:
     order = "<" if data[at] else ">"
     (code,) = struct.unpack_from(order + "I", data, at + 1)
@@ -165,19 +249,26 @@ def _read_wkb(data: bytes, at: int) -> tuple[dict, int]:
         at += 8 * width * n
         return out
 
+    def shape(parts: list, members: list | None = None) -> tuple[dict, int]:
+        return {"kind": KINDS[kind], "parts": [p for p in parts if p and p[0]], "members": members}, at
+
     if kind == 1:
-        return {"kind": "POINT", "parts": [[line(1)]]}, at
+        place = line(1)
+        return shape([] if math.isnan(place[0]["x"]) else [[place]])
     if kind == 2:
-        return {"kind": "LINESTRING", "parts": [[line(count())]]}, at
+        return shape([[line(count())]])
     if kind == 3:
-        return {"kind": "POLYGON", "parts": [[line(count()) for _ in range(count())]]}, at
-    if kind not in (4, 5, 6):
+        return shape([[line(count()) for _ in range(count())]])
+    if kind not in KINDS:
         raise ValueError(f"geometry type {kind} is not supported")
-    parts = []
+    parts, members = [], []
     for _ in range(count()):
         one, at = _read_wkb(data, at)
+        if one["kind"] == "GEOMETRYCOLLECTION":
+            raise ValueError("collections within collections are not supported")
         parts += one["parts"]
-    return {"kind": {4: "MULTIPOINT", 5: "MULTILINESTRING", 6: "MULTIPOLYGON"}[kind], "parts": parts}, at
+        members.append({"kind": one["kind"], "n": len(one["parts"])})
+    return shape(parts, members if kind == 7 else None)
 
 
 def geometry_from_wkb(column: Column) -> Column:
@@ -189,15 +280,36 @@ def geometry_from_wkb(column: Column) -> Column:
 
 
 def geojson(geometry: Column) -> Column:
-    """The geometry as GeoJSON."""
+    """The geometry as GeoJSON; an empty one has no coordinates."""
 
     def place(v: Column) -> Column:
         return F.array(v["x"], v["y"])
 
-    parts = F.transform(geometry["parts"], lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, place)))
-    kind = geometry["kind"]
-    one = [("POINT", "Point", parts[0][0][0]), ("LINESTRING", "LineString", parts[0][0]), ("MULTIPOINT", "MultiPoint", F.transform(parts, lambda p: p[0][0])), ("MULTILINESTRING", "MultiLineString", F.transform(parts, lambda p: p[0])), ("POLYGON", "Polygon", parts[0])]
-    out = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")))
-    for name, shown, value in one:
-        out = F.when(kind == name, F.to_json(F.struct(F.lit(shown).alias("type"), value.alias("coordinates")))).otherwise(out)
-    return F.when(geometry.isNotNull(), out)
+    def text(coordinates: Column) -> Column:
+        return F.to_json(coordinates)
+
+    def coordinates(kind: Column, polygons: Column) -> Column:
+        parts = F.transform(polygons, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, place)))
+        one = {"POINT": parts[0][0][0], "LINESTRING": parts[0][0], "POLYGON": parts[0], "MULTIPOINT": F.transform(parts, lambda p: p[0][0]), "MULTILINESTRING": F.transform(parts, lambda p: p[0])}
+        out = text(parts)
+        for name, value in one.items():
+            out = F.when(kind == name, text(value)).otherwise(out)
+        return F.when(F.size(polygons) == 0, F.lit("[]")).otherwise(out)
+
+    def shape(kind: Column, polygons: Column) -> Column:
+        shown = F.lit(None).cast("string")
+        for name, title in SHOWN.items():
+            shown = F.when(kind == name, title).otherwise(shown)
+        return F.concat(F.lit('{"type":"'), shown, F.lit('","coordinates":'), coordinates(kind, polygons), F.lit("}"))
+
+    def member(m: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(geometry["members"], F.lit(1), i), F.lit(0), lambda a, x: a + x["n"])
+        return shape(m["kind"], F.slice(geometry["parts"], before + 1, m["n"]))
+
+    collection = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(F.transform(geometry["members"], member), ","), F.lit("]}"))
+    whole = F.when(geometry["kind"] == "GEOMETRYCOLLECTION", collection).otherwise(shape(geometry["kind"], geometry["parts"]))
+    return F.when(geometry.isNotNull(), whole)
+
+
+#: Kinds of geometry as GeoJSON calls them.
+SHOWN = {"POINT": "Point", "LINESTRING": "LineString", "POLYGON": "Polygon", "MULTIPOINT": "MultiPoint", "MULTILINESTRING": "MultiLineString", "MULTIPOLYGON": "MultiPolygon"}

@@ -7,6 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _seconds(column: Column, kind: T.DataType) -> Column:
+    """Whole seconds since 1970 in UTC, fractions dropped towards 1970, whatever the session's time zone. Times
+    without a zone are in UTC."""
+    if isinstance(kind, T.TimestampNTZType):
+        of_day = F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+        whole = _days(column).cast("long") * 86400 + of_day
+        part = F.date_part(F.lit("SECOND"), column) % 1 != 0
+    else:
+        whole, part = F.unix_seconds(column), F.unix_micros(column) % 1_000_000 != 0
+    return whole + F.when((whole < 0) & part, 1).otherwise(0)
+
+
+def _days(date: Column) -> Column:
+    return F.datediff(date.cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+def _zoned(text: Column) -> Column:
+    """Text of a time as a time; one without a zone is in UTC."""
+    zoned = F.when(text.rlike(r"\d[T ]\d") & ~text.rlike(r"(?:[Zz]|UTC|[+-]\d{2}:?\d{2})$"), F.concat(text, F.lit("Z"))).otherwise(text)
+    return F.when(text.rlike(r"\d[T ]\d"), zoned.try_cast("timestamp"))
+
+
 def key(column: Column, kind: T.DataType) -> Column:
     """The value as text: the key of exact-match indexes and of the primary key. Null stays null.
     Numbers have no exponent and no trailing zeros; times are whole seconds, RFC 3339 in UTC."""
@@ -17,25 +39,27 @@ def key(column: Column, kind: T.DataType) -> Column:
         plain = F.regexp_replace(F.regexp_replace(column.cast("decimal(38,16)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
         return F.when(F.isnan(column), "NaN").when(text.contains("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf"))).when(text.contains("E"), F.coalesce(plain, text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
     if isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        return F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+        plain = F.timestamp_add("SECOND", _seconds(column, kind), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+        return F.concat(F.replace(plain.cast("string"), F.lit(" "), F.lit("T")), F.lit("+00:00"))
     if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
         return F.to_json(column)
     return column.cast("string")
 
 
 def number(column: Column, kind: T.DataType, index: str) -> Column:
-    """What range conditions compare: numbers as such, dates as days and times as seconds since 1970. Text that isn't one gives null."""
+    """What range conditions compare: numbers as such, dates as days and times as seconds since 1970. Text that isn't
+    one gives null. Dates and times are those of UTC."""
     if index == "range":
         return column.cast("double") if isinstance(kind, T.NumericType) else F.trim(key(column, kind)).try_cast("double")
     if index == "date":
-        day = column.cast("date") if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) else F.when(column.rlike(r"^\d{4}-\d{2}-\d{2}$"), column).try_cast("date")
-        return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column).cast("double")
+        if isinstance(kind, T.TimestampType):
+            return F.floor(F.unix_seconds(column) / 86400).cast("double")
+        return _days(column if isinstance(kind, T.DateType | T.TimestampNTZType) else F.when(column.rlike(r"^\d{4}-\d{2}-\d{2}$"), column).try_cast("date")).cast("double")
     if isinstance(kind, T.DateType):
-        return (F.datediff(column, F.lit("1970-01-01").cast("date")) * 86400).cast("double")
-    time = column if isinstance(kind, T.TimestampType) else column.try_cast("timestamp")
-    return F.unix_seconds(time).cast("double")
+        return (_days(column) * 86400).cast("double")
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return _seconds(column, kind).cast("double")
+    return _seconds(_zoned(column), T.TimestampType()).cast("double")
 
 
 def rendered(text: Column, index: str | None) -> Column:

@@ -39,6 +39,15 @@ def dense_ids(table: DataFrame, before: list[int], name: str = "_doc_id") -> Dat
     return table.join(F.broadcast(listed), "_part").withColumn(name, F.col("_before") + place).drop("_before")
 
 
+def range_of(number: Column, before: list[int]) -> list[Column]:
+    """The range and the place in it of ids, as the table has them: what dense_ids() undoes."""
+    if len(before) <= LISTED_RANGES:
+        bounds = F.array(*(F.lit(b).cast("long") for b in before))
+        part = F.size(F.filter(bounds, lambda b: b < number)) - 1
+        return [part.cast("int"), number - F.element_at(bounds, part + 1) - 1]
+    raise ValueError("too many ranges to look ids up by literals")
+
+
 def _gathered(rows: DataFrame, *keys: str) -> DataFrame:
     """Sorted ids by keys, in blocks of so many consecutive ids, so that a common key is never one array or one task."""
     block = F.shiftright("_doc_id", BLOCK_BITS).alias("block")
@@ -75,10 +84,12 @@ def boundaries(staged: DataFrame, field: str, bins: int) -> list[float]:
     two of them, found by range and place, so no task and no aggregate holds them all."""
     wanted = probabilities(bins)
     value = staged.select(F.col(f"`_num_{field}`").alias("value")).where("value IS NOT NULL")
-    table = storage.written(placed(value, [F.col("value")]), "quantiles")
+    path = storage.new_path(staged.sparkSession, "quantiles")
+    table = storage.written(placed(value, [F.col("value")]), "quantiles", path)
     before = bases(table)
     n = before[-1]
     if not n or not wanted:
+        storage.removed(staged.sparkSession, path)
         return []
     at = {p: p * (n - 1) for p in wanted}
     places = {}
@@ -87,6 +98,7 @@ def boundaries(staged: DataFrame, field: str, bins: int) -> list[float]:
         places[part, rank - before[part]] = rank
     some = table.where(F.col("_part").isin(sorted({p for p, _ in places})) & F.col("_at").isin(sorted({k for _, k in places})))
     got = {places[r["_part"], r["_at"]]: r["value"] for r in some.collect() if (r["_part"], r["_at"]) in places}
+    storage.removed(staged.sparkSession, path)
     return [got[int(x)] + (x - int(x)) * (got[min(int(x) + 1, n - 1)] - got[int(x)]) for x in at.values()]
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import logging
+import re
+import time
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,24 +29,54 @@ def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file in any store that Spark reaches, written beside and then renamed."""
-    fs, where, jvm = _file_system(spark, path)
-    part = jvm.org.apache.hadoop.fs.Path(path + ".part")
-    out = fs.create(part, True)
+    """A small new file in any store that Spark reaches."""
+    fs, where, _ = _file_system(spark, path)
+    out = fs.create(where, False)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    fs.rename(part, where)
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+POINTER = re.compile(r"CURRENT-(\d{10})-(\w+)$")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of the published versions of a collection, the current one last."""
     fs, where, _ = _file_system(spark, path)
-    return fs.exists(where)
+    names = (POINTER.match(s.getPath().getName()) for s in fs.listStatus(where) if s.isFile()) if fs.exists(where) else ()
+    return sorted((int(m[1]), m[2]) for m in names if m)
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Makes a version the current one. A pointer is an empty file whose name says it all; it is created at once and
+    never changed, and the greatest number counts, so at each moment readers find one version or the other."""
+    while True:
+        told = pointers(spark, path)
+        fs, where, _ = _file_system(spark, f"{path}/CURRENT-{(told[-1][0] if told else 0) + 1:010d}-{version}")
+        if fs.createNewFile(where):
+            return
+
+
+def cleaned(spark: SparkSession, path: str, keep: int, age: float = 86_400) -> list[str]:
+    """Removes all but the newest `keep` versions of a collection, pointers first, and what builds that never
+    published have left if it is older than so many seconds. Gives the versions removed."""
+    told, out = pointers(spark, path), []
+    fs, where, jvm = _file_system(spark, path)
+    for number, version in told[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT-{number:010d}-{version}"), False)
+    kept, old = {v for _, v in told[-keep:]}, {v for _, v in told[:-keep]}
+    for s in fs.listStatus(where):
+        name = s.getPath().getName()
+        if s.isDirectory() and name not in kept and VERSION.match(name) and (name in old or s.getModificationTime() < 1000 * (time.time() - age)):
+            fs.delete(s.getPath(), True)
+            out.append(name)
+    return out
+
+
+VERSION = re.compile(r"[0-9a-f]{32}$")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
@@ -56,6 +89,9 @@ class Collection:
         self.name, self.staged, self.version = name, staged, version
 
     def search(self, **parameters: object) -> DataFrame:
+        """See search(); for the nearest points of a written collection, see nearest()."""
+        if self.staged.bases is not None and plan.is_nearest(self.staged, **parameters):
+            return plan.nearest(self.staged, **parameters)
         return plan.search(self.staged, **parameters)
 
     def get(self, key: str | int) -> DataFrame:
@@ -80,8 +116,18 @@ class Collection:
         return found["document"] if found else None
 
     def render(self, output: str = "geojson", **parameters: object) -> str:
+        return "".join(self.rendered(output, **parameters))
+
+    def rendered(self, output: str = "geojson", **parameters: object) -> Iterator[str]:
+        """render() piece by piece, of which the driver holds those of one partition."""
         return render.rendered(self.search(**parameters), self.staged, output)
 
+    def bins(self, field: str) -> DataFrame:
+        """bin, low, high (its boundaries, null at the ends) and n of a number's bins, of a collection built with bins."""
+        bounds = [None, *(self.staged.bounds or {}).get(field, []), None]
+        listed = self.staged.rows.sparkSession.createDataFrame([(k, *b) for k, b in enumerate(zip(bounds, bounds[1:], strict=False))], "bin int, low double, high double")
+        return listed.join(self.staged.rows.groupBy(F.col(f"`_bin_{field}`").alias("bin")).agg(F.count("*").alias("n")), "bin")
+
     def info(self) -> dict[str, list[str]]:
         """Indexed columns by kind of index."""
         out: dict[str, list[str]] = {}
@@ -95,13 +141,14 @@ class Collection:
 
 def open_collection(spark: SparkSession, path: str) -> Collection:
     path = path.rstrip("/")
-    version = read_text(spark, f"{path}/CURRENT").strip()
+    version = pointers(spark, path)[-1][1]
     home = f"{path}/{version}"
     data = json.loads(read_text(spark, f"{home}/metadata.json"))
     known = {f.name for f in fields(Profile)}
     own = {k: v for k, v in data["profile"].items() if k in known}
     profile = Profile(**own | {"columns": tuple(own["columns"]), "indexes": tuple(Index(**i | {"stopwords": tuple(i["stopwords"])}) for i in own["indexes"])})
     rows = indexes.dense_ids(spark.read.parquet(f"{home}/documents"), data["bases"])
+    rows = rows.withColumns({f"_bin_{c}": indexes.bin_of(F.col(f"`_num_{c}`"), b) for c, b in (data["bounds"] or {}).items()})
     staged = Staged(rows, profile, data["geometry_type"], data["bounds"], data["size"], data["bases"], spark.read.parquet(f"{home}/postings") if data["postings"] else None)
     return Collection(path.rsplit("/", 1)[-1], staged, version)
 
@@ -118,7 +165,7 @@ class Catalog:
         """A path is a collection, or its direct subfolders may be."""
         out = []
         for path in self.paths:
-            out += [path] if exists(self.spark, f"{path}/CURRENT") else [c for c in children(self.spark, path) if exists(self.spark, f"{c}/CURRENT")]
+            out += [path] if pointers(self.spark, path) else [c for c in children(self.spark, path) if pointers(self.spark, c)]
         return out
 
     def refresh(self) -> None:
@@ -133,7 +180,7 @@ class Catalog:
         self.collections = found
 
     def versions(self) -> dict[str, str]:
-        return {h: read_text(self.spark, f"{h}/CURRENT").strip() for h in self.homes()}
+        return {h: pointers(self.spark, h)[-1][1] for h in self.homes()}
 
     def health(self) -> list[dict]:
         return [c.health() for c in self.collections.values()]

@@ -5,6 +5,7 @@ and lon that of stored fields of these names."""
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +65,11 @@ def features(found: DataFrame, staged: Staged) -> DataFrame:
     return found.select("_doc_id", _object({"type": F.lit('"Feature"'), "geometry": shape, "properties": _object(parts)}).alias("feature"))
 
 
-def rendered(found: DataFrame, staged: Staged, output: str = "geojson") -> str:
-    """All results of a search, which its limit bounds, as one text in their order."""
-    if output == "json":
-        return "[" + ",".join(r["document"] for r in json_documents(found, staged).collect()) + "]"
-    return '{"type":"FeatureCollection","features":[' + ",".join(r["feature"] for r in features(found, staged).collect()) + "]}"
+def rendered(found: DataFrame, staged: Staged, output: str = "geojson") -> Iterator[str]:
+    """All results of a search in their order, as the pieces of one text. Rows come partition by partition, so any
+    number of groups passes through."""
+    shown = json_documents(found, staged).select("document") if output == "json" else features(found, staged).select("feature")
+    yield "[" if output == "json" else '{"type":"FeatureCollection","features":['
+    for k, row in enumerate(shown.toLocalIterator()):
+        yield row[0] if k == 0 else "," + row[0]
+    yield "]" if output == "json" else "]}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from frostline.functions import geo
 from frostline.operators import filters, ranking, spatial, text
-from frostline.plans.stage import POLYGON, Staged
+from frostline.plans.stage import POINT, POLYGON, Staged
 
 Number = float | int | str | None
 log = logging.getLogger(__name__)
@@ -42,11 +42,14 @@ def matches(
     has_box, has_centre = None not in box, lat is not None and lon is not None
 
     if q is not None:
-        rows = text.by_postings(rows, staged.postings, q, p) if staged.postings is not None else rows.where(text.condition(q, p))
-    if (where := filters.conjunction(filters.parse(filter_by), p)) is not None:
+        log.debug("%s: words %s", p.collection, text.words(q, p))
+        rows = text.by_postings(rows, staged.postings, q, p, staged.bases) if staged.postings is not None else rows.where(text.condition(q, p))
+    if (where := filters.conjunction(parsed := filters.parse(filter_by), p)) is not None:
+        log.debug("%s: conditions %s", p.collection, parsed)
         rows = rows.where(where)
     if has_box:
         rows = rows.where(F.lit(False) if geometry is None else spatial.envelope_meets(box) if geometry == POLYGON else spatial.point_in_box(box))
+    log.debug("%s: box %s, centre %s, radius %s", p.collection, box if has_box else None, (lat, lon) if has_centre else None, radius)
     if not has_centre or geometry is None:
         return rows.withColumn("__distance", F.lit(0.0)), False
     if geometry == POLYGON:
@@ -76,16 +79,23 @@ def search(staged: Staged, group_by: str | None = None, top_n: Number = None, **
     return rows.select("_doc_id", *(F.col(f"`{c}`") for c in p.columns), "__distance", *place)
 
 
-def nearest(staged: Staged, lat: float, lon: float, top_n: int, start: float = 500.0, **conditions: Number) -> DataFrame:
+def is_nearest(staged: Staged, lat: Number = None, lon: Number = None, radius: Number = None, top_n: Number = None, group_by: str | None = None, **conditions: Number) -> bool:
+    """If a search asks for the nearest points with a limit, and nothing else bounds the place."""
+    box = [number(conditions.get(k)) for k in ("min_lat", "min_lon", "max_lat", "max_lon")]
+    return staged.geometry == POINT and group_by is None and None not in (number(lat), number(lon)) and number(radius) is None and (whole(top_n) or 0) > 0 and None in box
+
+
+def nearest(staged: Staged, lat: Number, lon: Number, top_n: Number, start: float = 500.0, radius: Number = None, group_by: str | None = None, **conditions: Number) -> DataFrame:
     """search() for the nearest points, for large written tables: the radius doubles until it holds enough rows
     that meet the conditions, which are then all that the final search looks at, so that most row groups
     are never read. The rows are those of search(); each step is a job that stops at top_n rows."""
-    if staged.geometry in (None, POLYGON) or top_n < 1:
-        return search(staged, lat=lat, lon=lon, top_n=top_n, **conditions)
-    radius = start
-    while radius < 2 * geo.RADIUS:
-        within, _ = matches(staged, lat=lat, lon=lon, radius=radius, **conditions)
-        if within.select("_ex").limit(top_n).count() == top_n:
-            return search(staged, lat=lat, lon=lon, radius=radius, top_n=top_n, **conditions)
-        radius *= 2
+    if not is_nearest(staged, lat, lon, radius, top_n, group_by, **conditions):
+        return search(staged, group_by, lat=lat, lon=lon, radius=radius, top_n=top_n, **conditions)
+    reach, wanted = start, whole(top_n)
+    while reach < 2 * geo.RADIUS:
+        within, _ = matches(staged, lat=lat, lon=lon, radius=reach, **conditions)
+        if within.select("_ex").limit(wanted).count() == wanted:
+            return search(staged, lat=lat, lon=lon, radius=reach, top_n=top_n, **conditions)
+        log.debug("%s: fewer than %d within %d m", staged.profile.collection, wanted, reach)
+        reach *= 2
     return search(staged, lat=lat, lon=lon, top_n=top_n, **conditions)

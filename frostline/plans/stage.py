@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import uuid
 from dataclasses import asdict, dataclass, replace
 
@@ -16,9 +17,8 @@ from frostline.operators import indexes, spatial
 from frostline.sources import readers
 from frostline.sources.profile import Profile
 
+log = logging.getLogger(__name__)
 POINT, POLYGON = "point", "polygon"
-#: Texts order equal keys by so many characters: rows sampled for the ranges go to the driver and stay small.
-TIE_CHARS = 64
 
 
 @dataclass(frozen=True)
@@ -43,11 +43,33 @@ def geometry_kind(rows: DataFrame, column: str = "_geom") -> str:
     return POLYGON if polygons else POINT
 
 
+def located(rows: DataFrame, profile: Profile) -> DataFrame:
+    """The rows with the geometry of the profile's geo index and its envelope, if there is one."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    for i in profile.of("geo"):
+        column, kind = F.col(f"`{i.column}`"), kinds[i.column]
+        if not isinstance(kind, T.StructType | T.BinaryType):
+            raise ValueError(f"geo index: {i.column!r} is no geometry")
+        rows = rows.withColumn("_geom", geo.geometry_from_wkb(column) if isinstance(kind, T.BinaryType) else column)
+        rows = rows.withColumns(dict(zip(("_xmin", "_ymin", "_xmax", "_ymax"), geo.envelope(F.col("_geom")), strict=True)))
+    return rows
+
+
+def checked(rows: DataFrame, profile: Profile) -> DataFrame:
+    """The rows, if they have all columns that the profile names."""
+    if missing := [c for c in [profile.primary_key, *profile.columns, *(i.column for i in profile.indexes)] if c not in rows.columns]:
+        raise ValueError(f"the source query has no column {', '.join(dict.fromkeys(missing))}")
+    return rows
+
+
 def derived(rows: DataFrame, profile: Profile) -> DataFrame:
     """The rows with the derived columns of the profile's indexes, without ids."""
+    return indexed(located(checked(rows, profile), profile), profile)
+
+
+def indexed(rows: DataFrame, profile: Profile) -> DataFrame:
+    """located() rows with the other derived columns."""
     kinds = {f.name: f.dataType for f in rows.schema}
-    if missing := [c for c in [profile.primary_key, *profile.columns, *(i.column for i in profile.indexes)] if c not in kinds]:
-        raise ValueError(f"the source query has no column {', '.join(dict.fromkeys(missing))}")
     new = {"_pk": values.key(F.col(f"`{profile.primary_key}`"), kinds[profile.primary_key])}
     for i in profile.indexes:
         column, kind = F.col(f"`{i.column}`"), kinds[i.column]
@@ -55,15 +77,10 @@ def derived(rows: DataFrame, profile: Profile) -> DataFrame:
             new[f"_key_{i.column}"] = values.key(column, kind)
         elif i.type == "text":
             new[f"_tok_{i.column}"] = textnorm.tokens(values.key(column, kind), list(i.stopwords))
-        elif i.type == "geo":
-            if not isinstance(kind, T.StructType | T.BinaryType):
-                raise ValueError(f"geo index: {i.column!r} is no geometry")
-            new["_geom"] = geo.geometry_from_wkb(column) if isinstance(kind, T.BinaryType) else column
-        else:
+        elif i.type != "geo":
             new[f"_num_{i.column}"] = values.number(column, kind, i.type)
     rows = rows.withColumns(new)
     for i in profile.of("geo"):
-        rows = rows.withColumns(dict(zip(("_xmin", "_ymin", "_xmax", "_ymax"), geo.envelope(F.col("_geom")), strict=True)))
         rows = rows.withColumns({"_lon": F.col("_xmin"), "_lat": F.col("_ymin")})
         rows = rows.withColumns(dict(zip(("_ex", "_ey", "_ez"), geo.ecef(F.col("_lon"), F.col("_lat")), strict=True)) | {"_cell": spatial.cell(F.col("_lon"), F.col("_lat"), i.resolution)})
     return rows
@@ -71,37 +88,54 @@ def derived(rows: DataFrame, profile: Profile) -> DataFrame:
 
 def stage(rows: DataFrame, profile: Profile, kind: str | None = None, path: str | None = None) -> Staged:
     """The rows with all derived columns and ids, written to `path` or the shared folder. Ids go by place (least
-    y, then x) and key where there is geometry, else by key; nulls first. Equal keys go by the other
-    stored columns in turn, text by its beginning, then by a hash of all. The table is written sorted by id, so its row groups prune by place or key."""
-    new = derived(rows, profile)
+    y, then x) and key where there is geometry, else by key; nulls first. Equal keys go by the other stored
+    numbers, dates and times in turn, then by a hash of all stored values: rows sampled for the ranges go to the
+    driver and stay small. Rows are dealt out as the source has them; tokens and keys are derived behind the
+    exchange. Each range is a file: by key it is in order of its ids, by place it is a strip of latitudes in order
+    of longitude, so that row groups prune boxes on both sides."""
     kinds = {f.name: f.dataType for f in rows.schema}
-    others = [c for c in profile.columns if c != profile.primary_key and isinstance(kinds[c], T.AtomicType)]
-    ties = [F.col(f"`{profile.primary_key}`")] + [F.left(f"`{c}`", F.lit(TIE_CHARS)) if isinstance(kinds[c], T.StringType) else F.col(f"`{c}`") for c in others]
+    shaped = located(checked(rows, profile), profile)
+    others = [c for c in profile.columns if c != profile.primary_key and isinstance(kinds[c], T.AtomicType) and not isinstance(kinds[c], T.StringType | T.BinaryType)]
+    order = ["_ymin", "_xmin"] if profile.of("geo") else []
+    ties = [F.col(f"`{c}`") for c in (*order, profile.primary_key, *others)]
     ties.append(F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in profile.columns)))))
-    order = ([F.col("_ymin"), F.col("_xmin")] if profile.of("geo") else []) + ties
-    table = storage.written(indexes.placed(new, order), "staged", path)
+    placed = indexes.placed(shaped, ties)
+    new = indexed(placed, profile)
+    if profile.of("geo"):
+        new = new.sortWithinPartitions("_xmin", "_ymin")
+    table = storage.written(new, "staged", path)
     before = indexes.bases(table)
     if profile.of("geo") and kind is None:
         kind = geometry_kind(table)
     return Staged(indexes.dense_ids(table, before), profile, kind if profile.of("geo") else None, size=before[-1], bases=before)
 
 
-def build(spark: SparkSession, profile: Profile, output: str, with_postings: bool = False) -> Staged:
-    """Runs the source query and writes a new version of the collection under `output`: the staged table
-    sorted by id, its metadata, and postings if asked for. Readers of older versions aren't disturbed:
-    the pointer to the newest version is written last."""
+def build(spark: SparkSession, profile: Profile, output: str, with_postings: bool = False, with_bins: bool = False, keep: int = 2) -> Staged:
+    """Runs the source query and publishes a new version of the collection under `output`: the staged table
+    sorted by id, its metadata, and postings and bins of numbers (exact quantiles, a sort of each column) if asked
+    for. Readers of older versions aren't disturbed: the pointer to the newest version is created last. The newest
+    `keep` versions stay; a build that fails takes away what it wrote."""
     from frostline.plans import catalog
 
-    version = uuid.uuid4().hex
-    home = f"{output.rstrip('/')}/{version}"
-    staged = stage(readers.source(spark, profile.query, profile.path), profile, path=f"{home}/documents")
-    done = replace(staged, bounds={i.column: indexes.boundaries(staged.rows, i.column, i.bins) for i in profile.of("range", "date", "datetime")})
-    if with_postings and profile.of("text"):
-        table = indexes.postings(done.rows, [i.column for i in profile.of("text")])
-        table.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{home}/postings")
-        done = replace(done, postings=spark.read.parquet(f"{home}/postings"))
-    catalog.write_text(spark, f"{home}/metadata.json", json.dumps(metadata(done) | {"postings": done.postings is not None}, ensure_ascii=False))
-    catalog.write_text(spark, f"{output.rstrip('/')}/CURRENT", version)
+    version, output = uuid.uuid4().hex, output.rstrip("/")
+    home = f"{output}/{version}"
+    try:
+        log.debug("%s: staging %s", profile.collection, version)
+        done = stage(readers.source(spark, profile.query, profile.path), profile, path=f"{home}/documents")
+        if with_bins:
+            log.debug("%s: %d rows staged; finding bins", profile.collection, done.size)
+            done = replace(done, bounds={i.column: indexes.boundaries(done.rows, i.column, i.bins) for i in profile.of("range", "date", "datetime")})
+        if with_postings and profile.of("text"):
+            log.debug("%s: gathering postings", profile.collection)
+            table = indexes.postings(done.rows, [i.column for i in profile.of("text")])
+            table.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{home}/postings")
+            done = replace(done, postings=spark.read.parquet(f"{home}/postings"))
+        catalog.write_text(spark, f"{home}/metadata.json", json.dumps(metadata(done) | {"postings": done.postings is not None}, ensure_ascii=False))
+    except Exception:
+        storage.removed(spark, home)
+        raise
+    catalog.publish(spark, output, version)
+    log.debug("%s: %s published, removed: %s", profile.collection, version, catalog.cleaned(spark, output, max(1, keep)))
     return done
 
 

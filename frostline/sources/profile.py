@@ -6,6 +6,9 @@ from dataclasses import dataclass, field
 
 import yaml
 
+#: Names of derived columns; a stored column can't have one.
+RESERVED = frozenset("_doc_id _pk _part _at _geom _lat _lon _ex _ey _ez _cell _xmin _ymin _xmax _ymax __distance _latitude _longitude _by_key _rank".split())
+PREFIXES = ("_key_", "_tok_", "_num_", "_bin_")
 TYPES = ("text", "bitmap", "geo", "range", "date", "datetime")
 
 
@@ -39,7 +42,7 @@ class Profile:
                 raise ValueError(f"index of {i.column!r}: bins from 1, resolution from 0 to 15")
         if len(self.of("geo")) > 1:
             raise ValueError("a profile has one geo index at most")
-        if taken := [c for c in self.columns if c.startswith(("_doc_id", "_pk", "_part", "_at", "_key_", "_tok_", "_num_", "_bin_"))]:
+        if taken := [c for c in self.columns if c in RESERVED or c.startswith(PREFIXES)]:
             raise ValueError(f"these names are reserved: {', '.join(taken)}")
 
     def of(self, *types: str) -> list[Index]:

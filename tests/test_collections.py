@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from frostline import server
 from frostline.operators import indexes
 from frostline.plans import stage
-from frostline.plans.catalog import Catalog, Collection
+from frostline.plans.catalog import Catalog, Collection, cleaned, pointers, publish
 from frostline.plans.search import matches, search
 from frostline.sources import readers
 from frostline.sources.profile import Index, Profile
@@ -94,7 +94,15 @@ def test_equal_keys_last_wins(spark) -> None:  # noqa: ANN001
     spark.createDataFrame([(7, "x"), (7, "y"), (8, "z"), (None, "n")], "id bigint, v string").createOrReplaceTempView("twice")
     p = Profile("twice", "", "SELECT * FROM twice", "id", ("id", "v"), (Index("v", "text"),))
     s = stage.stage(readers.source(spark, p.query), p)
-    assert Collection("twice", s).get(7).first().v == "y" and Collection("twice", s).get(1).first().v == "n"
+    by_hash = s.rows.where("id = 7").orderBy(F.xxhash64(F.to_json(F.struct("id", "v")))).collect()  # equal keys go by a hash of the stored values
+    assert Collection("twice", s).get(7).first().v == by_hash[-1].v and Collection("twice", s).get(1).first().v == "n"
+    long = "x" * 100
+    spark.createDataFrame([(7, f"{long}{k}", k) for k in range(20)], "id bigint, v string, n int").createOrReplaceTempView("long")
+    p = Profile("long", "", "SELECT * FROM long", "id", ("id", "v", "n"))
+    assert Collection("long", stage.stage(readers.source(spark, p.query), p)).get(7).first().n == 19  # numbers come first
+    p = Profile("long", "", "SELECT * FROM long", "id", ("id", "v"))
+    want = {stage.stage(readers.source(spark, f"SELECT * FROM long ORDER BY n {way}"), p).rows.orderBy(F.desc("_doc_id")).first().v for way in ("", "DESC")}
+    assert len(want) == 1
     assert {r.v for r in matches(s)[0].collect()} == {"x", "y", "z", "n"}
 
 
@@ -146,10 +154,102 @@ def test_server_and_reload(spark, built: str, tmp_path: Path) -> None:  # noqa:
 
 def test_broken_collections_are_left_out(spark, tmp_path: Path) -> None:  # noqa: ANN001
     (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "CURRENT").write_text("missing")
+    (tmp_path / "bad" / "CURRENT-0000000001-missing").write_text("")
     assert Catalog(spark, [str(tmp_path), str(tmp_path / "nowhere")]).health() == []
 
 
+def test_readers_always_find_a_version(spark, tmp_path: Path) -> None:  # noqa: ANN001
+    """Pointers change while others read: at no time is there none, and the number never goes back."""
+    home, seen, done = str(tmp_path / "c"), [], threading.Event()
+    publish(spark, home, "0" * 32)
+
+    def look() -> None:
+        while not done.is_set():
+            seen.append(pointers(spark, home)[-1][0])
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    for k in range(1, 30):
+        publish(spark, home, f"{k:032x}")
+        cleaned(spark, home, 2)
+    done.set()
+    reader.join()
+    assert len(seen) > 5 and seen == sorted(seen) and [n for n, _ in pointers(spark, home)] == [29, 30]
+
+
+def test_old_and_failed_versions_go(spark, tmp_path: Path) -> None:  # noqa: ANN001
+    (tmp_path / "in.csv").write_text(CSV)
+    home = tmp_path / "places"
+    for _ in range(3):
+        stage.build(spark, places(str(tmp_path / "in.csv")), str(home), keep=2)
+    versions = {p.name for p in home.iterdir() if p.is_dir()}
+    assert versions == {v for _, v in pointers(spark, str(home))} and len(versions) == 2
+    with pytest.raises(Exception, match="nothing"):
+        stage.build(spark, Profile("places", "", "SELECT id, raise_error('nothing') AS name FROM range(3)", "id", ("id", "name")), str(home))
+    assert {p.name for p in home.iterdir() if p.is_dir()} == versions
+    (home / ("f" * 32)).mkdir()
+    assert cleaned(spark, str(home), 2) == [] and cleaned(spark, str(home), 2, age=-10) == ["f" * 32] and (home / "notes").mkdir() is None and cleaned(spark, str(home), 1, age=-10) != ["notes"]
+
+
+def test_command_line(spark, tmp_path: Path, monkeypatch: pytest.MonkeyPatch) -> None:  # noqa: ANN001
+    """Build and serve as the commands do, in this session."""
+    from frostline import __main__ as cli
+
+    (tmp_path / "in.csv").write_text(CSV)
+    (tmp_path / "p.yaml").write_text(f"""
+collection: places
+source: {{path: none.csv, query: "{QUERY}"}}
+storage: {{primary_key: id, columns: [id, name, price]}}
+indexes: [{{column: name, type: text}}, {{column: geom, type: geo}}, {{column: price, type: range, bins: 4}}]
+""")
+    cli.main(["build", "--profile", str(tmp_path / "p.yaml"), "--output", str(tmp_path / "out" / "places"), "--input", str(tmp_path / "in.csv"), "--postings", "--bins", "--keep", "1"])
+    one = Catalog(spark, [str(tmp_path / "out")]).collections["places"]
+    assert one.staged.size == 4 and one.staged.bounds["price"] and {r.bin: r.n for r in one.bins("price").collect() if r.bin is not None} and sum(r.n for r in one.bins("price").collect()) == 3
+    assert [r.id for r in one.search(q="pizza").collect()] == [3]
+
+    served = []
+
+    def answer(catalog: Catalog, host: str, port: int) -> object:
+        served.append((server.respond(catalog, "/places/search?lat=48.8566&lon=2.3522&top_n=1&output=json"), host, port))
+        return type("Once", (), {"serve_forever": lambda self: None})()
+
+    monkeypatch.setattr(cli.server, "serve", answer)
+    cli.main(["--debug", "serve", str(tmp_path / "out"), "--http-addr", "0.0.0.0:4000"])
+    (status, _, body), host, port = served[0]
+    assert (status, host, port) == (200, "0.0.0.0", 4000) and [d["id"] for d in json.loads("".join(body))] == [1]
+
+
+def test_nearest_is_served(spark, built: str) -> None:  # noqa: ANN001
+    one = Catalog(spark, [built]).collections["places"]
+    for n in (1, 2, 3, 7):
+        near = one.search(lat=48.8, lon=2.3, top_n=n)
+        assert [(r.id, r.__getitem__("__distance")) for r in near.collect()] == [(r.id, r.__getitem__("__distance")) for r in search(one.staged, lat=48.8, lon=2.3, top_n=n).collect()]
+    assert "LessThanOrEqual(_lat" in one.search(lat=48.8566, lon=2.3522, top_n=1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_joined_once(spark, tmp_path: Path) -> None:  # noqa: ANN001
+    (tmp_path / "in.csv").write_text(CSV)
+    stage.build(spark, places(str(tmp_path / "in.csv")), str(tmp_path / "places"), with_postings=True)
+    one = Catalog(spark, [str(tmp_path)]).collections["places"]
+    plan = matches(one.staged, q="pizza gare")[0].select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and "_at" in plan.split("LeftSemi")[1].split("\n")[0]
+    assert [r.id for r in matches(one.staged, q="pizza gare")[0].collect()] == [3]
+
+
+def test_tokens_are_derived_behind_the_exchange(spark, tmp_path: Path) -> None:  # noqa: ANN001
+    rows = spark.range(50).selectExpr("id", "concat('word ', id) AS t")
+    p = Profile("c", "", "", "id", ("id", "t"), (Index("t", "text"),))
+    seen = []
+    original = stage.storage.written
+    try:
+        stage.storage.written = lambda df, *a: seen.append(df._jdf.queryExecution().executedPlan().toString()) or original(df, *a)
+        stage.stage(rows, p)
+    finally:
+        stage.storage.written = original
+    exchange = seen[0].index("Exchange rangepartitioning")
+    assert "_tok_t" in seen[0][:exchange] and "regexp_replace" not in seen[0][exchange:]
+
+
 def test_following_a_folder(spark, tmp_path: Path) -> None:  # noqa: ANN001
     source = tmp_path / "in"
     spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, v string").write.parquet(str(source))

@@ -12,7 +12,7 @@ from frostline.sources.profile import Index, Profile, from_yaml
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("country:USA && value:[20..40] && type:!=[A,B]", [Values("country", ("USA",)), Bounds("value", "20", "40"), Values("type", ("A", "B"), True)]),
+        ("shape:round && weight:[1.5..9] && colour:!=[red,dark blue]", [Values("shape", ("round",)), Bounds("weight", "1.5", "9"), Values("colour", ("red", "dark blue"), True)]),
         ("a:![x, y]", [Values("a", ("x", "y"), True)]),
         ("a:!=x", [Values("a", ("x",), True)]),
         ("a:!=[x", [Values("a", ("[x",), True)]),
@@ -48,21 +48,28 @@ def test_stopwords_by_field() -> None:
 
 def test_profile() -> None:
     p = from_yaml("""
-version: "1.0"
-collection: places
-source: {path: x.parquet, query: "SELECT * FROM read_parquet('{path}')"}
-storage: {primary_key: id, columns: [id, zip_code]}
+collection: ships
+source: {path: ships.csv, query: "SELECT * FROM read_csv('{path}')"}
+storage: {primary_key: imo, columns: [imo, flag]}
 indexes:
-  - {column: full_name, type: text, stopwords: [rue, impasse, route]}
-  - {column: zip_code, type: bitmap}
-  - {column: geom, type: geo, resolution: 8}
-  - {column: score, type: range, bins: 20}
-  - {column: at, type: date_time}
+  - {column: title, type: text, stopwords: [mv, ss]}
+  - {column: flag, type: bitmap}
+  - {column: berth, type: geo, resolution: 11}
+  - {column: tonnage, type: range, bins: 7}
+  - {column: seen, type: date_time}
 """)
-    assert (p.collection, p.primary_key, len(p.indexes), p.indexes[2].resolution, p.indexes[4].type, p.indexes[1].bins) == ("places", "id", 5, 8, "datetime", 20)
+    assert (p.collection, p.primary_key, len(p.indexes), p.indexes[2].resolution, p.indexes[4].type, p.indexes[1].bins) == ("ships", "imo", 5, 11, "datetime", 20)
+    assert p.index("title", "text").stopwords == ("mv", "ss") and p.version == "1.0"
     with pytest.raises(ValueError, match="primary key"):
         Profile("c", "", "", "id", ("name",))
     with pytest.raises(ValueError, match="one geo"):
         Profile("c", "", "", "id", ("id",), (Index("a", "geo"), Index("b", "geo")))
     with pytest.raises(ValueError, match="none of"):
         Profile("c", "", "", "id", ("id",), (Index("a", "hash"),))
+
+
+@pytest.mark.parametrize("name", ["_lat", "_geom", "__distance", "_num_x", "_doc_id", "_cell"])
+def test_derived_names_are_reserved(name: str) -> None:
+    with pytest.raises(ValueError, match="reserved"):
+        Profile("c", "", "", "id", ("id", name))
+    assert Profile("c", "", "", "id", ("id", "_own", "lat"))

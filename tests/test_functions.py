@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from frostline.functions import geo, textnorm, values
 
-TEXTS = ["Château de Versailles", "Straße ÆŒØŁĐÞ", "a\nb\tc", "", "Éric's café-bar 42", "ÀÉÎÕÜ ñç Ÿ", "日本 abc", "İstanbul ſ K"]
+TEXTS = ["Привет, МИР! ёж Щука ъ", "Ελλάδα ΆΈ ς", "北京大学 学报", "हिन्दी भाषा", "ａＢ１ ١٢٣", "Ѐ Ӝ ª º ﬁ ᴀ ʰ", "שלום ﺍﻟﺴﻼﻡ", "e\u0301 \u0301", "Château de Versailles", "Straße ÆŒØŁĐÞ", "a\nb\tc", "", "Éric's café-bar 42", "ÀÉÎÕÜ ñç Ÿ", "日本 abc", "İstanbul ſ K"]
 
 
 def test_slug_agrees_with_python(spark) -> None:  # noqa: ANN001
@@ -18,6 +18,30 @@ def test_slug_agrees_with_python(spark) -> None:  # noqa: ANN001
     assert textnorm.slugify("Château") == "chateau" and textnorm.slugify("a\nb") == "ab" and textnorm.slugify("Straße") == "strasse"
 
 
+def test_no_word_with_letters_is_empty() -> None:
+    for word, slug in (("Привет", "privet"), ("Ελλάδα", "ellada"), ("北京", "北京"), ("हिन्दी", "हिन्दी"), ("שלום", "שלום"), ("Ж", "zh"), ("日", "日")):
+        assert textnorm.slugify(word) == slug and textnorm.is_token(slug)
+    assert textnorm.slugify("!!!") == "" and not textnorm.is_token("a")
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_keys_and_numbers_are_in_utc_whatever_the_session(spark, zone: str) -> None:  # noqa: ANN001
+    query = """SELECT timestamp_seconds(0) AS t, timestamp_ntz'2024-07-01 02:30:00' AS summer, timestamp_ntz'2024-03-10 02:30:15.5' AS gap, timestamp'1969-12-31T23:59:59.5Z' AS before,
+      '2024-03-10 02:30:00' AS plain, '2024-03-10T02:30:00+01:00' AS zoned, date'1970-01-02' AS d, timestamp_seconds(1710037800) AS late"""
+    want_keys = ("1970-01-01T00:00:00+00:00", "2024-07-01T02:30:00+00:00", "2024-03-10T02:30:15+00:00", "1970-01-01T00:00:00+00:00", "2024-03-10 02:30:00", "2024-03-10T02:30:00+01:00", "1970-01-02", "2024-03-10T02:30:00+00:00")
+    want_times, want_days = (0.0, 1719801000.0, 1710037815.0, 0.0, 1710037800.0, 1710034200.0, 86400.0, 1710037800.0), (0.0, 19905.0, 19792.0, -1.0, None, None, 1.0, 19792.0)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql(query)
+        kinds = {f.name: f.dataType for f in df.schema}
+        assert tuple(df.select(*(values.key(F.col(c), kinds[c]) for c in df.columns)).first()) == want_keys
+        assert tuple(df.select(*(values.number(F.col(c), kinds[c], "datetime") for c in df.columns)).first()) == want_times
+        assert tuple(df.select(*(values.number(F.col(c), kinds[c], "date") for c in df.columns)).first()) == want_days
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_tokens(spark) -> None:  # noqa: ANN001
     row = spark.createDataFrame([("La rue de la Paix 7 a x9",)], "t string").select(textnorm.tokens("t", ["La", "dé"]).alias("k")).first()
     assert sorted(row.k) == ["7", "paix", "rue", "x9"]
@@ -55,12 +79,24 @@ def test_wkt_wkb_and_polygons(spark) -> None:  # noqa: ANN001
     assert row.edge == pytest.approx(0.1 * 111195, rel=1e-3)
     assert row.json == '{"type":"Point","coordinates":[2.5,48.5]}' and row.multi.startswith('{"type":"MultiPolygon","coordinates":[[[[2.0,2.0]')
     point = struct.pack("<BIdd", 1, 1, 2.0, 3.0)
-    assert geo.from_wkb(point) == {"kind": "POINT", "parts": [[[{"x": 2.0, "y": 3.0}]]]}
+    assert geo.from_wkb(point) == {"kind": "POINT", "parts": [[[{"x": 2.0, "y": 3.0}]]], "members": None}
     ring = struct.pack(">BIII", 0, 3, 1, 4) + b"".join(struct.pack(">dd", *v) for v in [(0, 0), (1, 0), (1, 1), (0, 0)])
     assert geo.from_wkb(ring)["kind"] == "POLYGON" and geo.from_wkb(struct.pack("<BII", 1, 6, 1) + ring)["parts"] == geo.from_wkb(ring)["parts"]
     assert geo.from_wkb(struct.pack("<BIddd", 1, 1001, 2.0, 3.0, 9.0))["parts"][0][0][0] == {"x": 2.0, "y": 3.0}
 
 
+def test_shapes_that_are_none(spark) -> None:  # noqa: ANN001
+    geo.register(spark)
+    for text in ("POINT(1)", "POLYGON(1 2)", "CIRCLE(1 2)", "POINT(1 2", ""):
+        with pytest.raises(Exception, match="no well-known text"):
+            spark.sql(f"SELECT st_geomfromtext('{text}') AS g").collect()
+    empty = spark.sql("SELECT st_geomfromtext('MULTIPOLYGON EMPTY') AS g, st_geomfromtext(NULL) AS n").select(*geo.envelope(F.col("g")), geo.contains(F.col("g"), 0.0, 0.0), F.col("n")).first()
+    assert tuple(empty) == (None, None, None, None, False, None)
+    ring = ", ".join(f"{k} {k % 7}" for k in range(30_000)) + ", 0 0"
+    long = spark.createDataFrame([(f"POLYGON(({ring}))",)], "w string").selectExpr("st_geomfromtext(w) AS g")
+    assert long.select(F.size(F.col("g.parts")[0][0])).first()[0] == 30_001
+
+
 def test_around_wraps_and_covers_poles() -> None:
     assert geo.around(0.0, 179.99, 5000)[2][1][0] == -180.0
     assert geo.around(89.99, 0.0, 50_000)[2] == [(-180.0, 180.0)]
