@@ -194,7 +194,8 @@ def register(spark: SparkSession) -> None:
 
 
 def from_wkb(data: bytes | None) -> dict | None:
-    """A geometry from well-known binary, of any byte order; further dimensions are dropped."""
+    """A geometry from well-known binary, of any byte order; further dimensions are dropped. A collection takes in the
+    members of the collections within it, at any depth."""
     if data is None:
         return None
     geometry, _ = _read_wkb(bytes(data), 0)
@@ -264,10 +265,8 @@ def _read_wkb(data: bytes, at: int) -> tuple[dict, int]:
     parts, members = [], []
     for _ in range(count()):
         one, at = _read_wkb(data, at)
-        if one["kind"] == "GEOMETRYCOLLECTION":
-            raise ValueError("collections within collections are not supported")
         parts += one["parts"]
-        members.append({"kind": one["kind"], "n": len(one["parts"])})
+        members += [{"kind": one["kind"], "n": len(one["parts"])}] if one["members"] is None else one["members"]
     return shape(parts, members if kind == 7 else None)
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import struct
 from datetime import date, datetime
 
@@ -85,6 +86,20 @@ def test_wkt_wkb_and_polygons(spark) -> None:  # noqa: ANN001
     assert geo.from_wkb(struct.pack("<BIddd", 1, 1001, 2.0, 3.0, 9.0))["parts"][0][0][0] == {"x": 2.0, "y": 3.0}
 
 
+def test_collections_within_collections(spark) -> None:  # noqa: ANN001
+    geo.register(spark)
+    point, ring = struct.pack("<BIdd", 1, 1, 2.0, 3.0), struct.pack("<BIII", 1, 3, 1, 4) + struct.pack("<8d", 0, 0, 1, 0, 1, 1, 0, 0)
+
+    def collection(*members: bytes) -> bytes:
+        return struct.pack("<BII", 1, 7, len(members)) + b"".join(members)
+
+    flat, deep = collection(point, ring, point), collection(collection(collection(point), collection()), collection(ring), point)
+    assert geo.from_wkb(deep) == geo.from_wkb(flat) and [m["kind"] for m in geo.from_wkb(deep)["members"]] == ["POINT", "POLYGON", "POINT"]
+    assert geo.to_wkb(geo.from_wkb(deep)) == flat and geo.from_wkb(collection(collection())) == {"kind": "GEOMETRYCOLLECTION", "parts": [], "members": []}
+    shown = spark.createDataFrame([(deep,)], "w binary").selectExpr("st_geomfromwkb(w) AS g").select(geo.geojson(F.col("g")).alias("g")).first().g
+    assert [m["type"] for m in json.loads(shown)["geometries"]] == ["Point", "Polygon", "Point"]
+
+
 def test_shapes_that_are_none(spark) -> None:  # noqa: ANN001
     geo.register(spark)
     for text in ("POINT(1)", "POLYGON(1 2)", "CIRCLE(1 2)", "POINT(1 2", ""):
