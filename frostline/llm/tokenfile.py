@@ -10,7 +10,7 @@ Any zstandard decoder reads the whole file; a reader that wants some documents r
 and decompresses those documents' frames alone, checking their checksums.
 
 A file is written under a name of its own attempt, and the manifest names the attempts that count,
-so tasks may be tried again or twice. Documents are dealt out by ranges of doc_id and sorted; ties
+so tasks may be tried again or twice. The manifest, a row per file, is one file that the driver has written. Documents are dealt out by ranges of doc_id and sorted; ties
 go by a hash of the text; a null doc_id comes first, a null text counts as empty. No document, no file. A very
 long text is one frame, its ids 4 bytes each in memory; a frame holds up to 4 GB. Columns besides the id
 and the text are left out, so their names never clash.
@@ -39,6 +39,8 @@ from frostline.llm import bpe, shared
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEK_MAGIC, CHECKSUMS, FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80, struct.Struct("<IBI")
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 LEVEL = 3
+#: Ids that a task of read() takes at least where there are more files than cores; a larger file is read by a task of its own.
+IDS_OF_A_TASK = 1 << 23
 MANIFEST = [("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())]
 
 
@@ -126,8 +128,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = two.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     manifest = ranged.mapInArrow(lambda b: shared.in_batches(run(b), MANIFEST), "part long, path string, n_docs long, n_tokens long, first_doc long, last_doc long")
-    manifest.write.parquet(f"{folder}/manifest")
-    return spark.read.parquet(f"{folder}/manifest")
+    listed = spark.createDataFrame(manifest.collect(), manifest.schema)  # a row per file
+    return shared.written(listed.coalesce(1), "manifest", f"{folder}/manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -145,7 +147,8 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     yield doc, f["start"] + int(reader.starts[k]), len(ids) // 4, zlib.crc32(ids)
 
     out = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
-    return listed.repartition(max(1, len(files))).mapInArrow(lambda b: shared.in_batches(run(b), out), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = min(len(files), max(spark.sparkContext.defaultParallelism, -(-int(starts[-1]) // IDS_OF_A_TASK)))
+    return listed.repartition(max(1, tasks)).mapInArrow(lambda b: shared.in_batches(run(b), out), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def find(spark: SparkSession, manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:

@@ -159,6 +159,24 @@ def test_token_files(spark, messy, empty) -> None:  # noqa: ANN001
     assert tokenfile.read(spark, tokenfile.write(empty, shared.new_path(spark, "files"), TOKENIZER)).collect() == []
 
 
+def test_small_token_files_share_tasks(spark, clean, monkeypatch: pytest.MonkeyPatch) -> None:  # noqa: ANN001
+    """The tasks that encode write no manifest of their own, and reading takes as many tasks as the ids need."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tokenfile.write(clean, shared.new_path(spark, "files"), TOKENIZER)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files.inputFiles()) == 1 and files.count() > 1
+    many, parts = files, spark.sparkContext.defaultParallelism
+    for _ in range(4):
+        many = many.union(many)
+    assert many.count() > parts
+    rows = tokenfile.read(spark, many)
+    assert rows.rdd.getNumPartitions() == parts and rows.count() == 16 * clean.count()
+    monkeypatch.setattr(tokenfile, "IDS_OF_A_TASK", 1)
+    assert tokenfile.read(spark, many).rdd.getNumPartitions() == many.count()
+
+
 def test_any_number_of_documents_is_found(spark) -> None:  # noqa: ANN001
     """More ids than any list on the driver should hold, repeated, null and unknown ones among them."""
     docs = spark.range(0, 3000, 3).selectExpr("id AS doc_id", "concat('text ', id) AS text")
