@@ -151,6 +151,23 @@ def test_components(spark) -> None:  # noqa: ANN001
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_rounds_of_components_are_as_many_files_as_edges_need(spark, monkeypatch: pytest.MonkeyPatch) -> None:  # noqa: ANN001
+    """Not a file for each shuffle partition: every file is a task and processes that an executor spawns."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 200)], "a long, b long")
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for most, files in ((100_000, 1), (50, 4)):
+            monkeypatch.setattr(components, "EDGES_OF_A_TASK", most)
+            got = components.components(edges)
+            assert len(got.inputFiles()) == files
+            assert {r.node: r.component for r in got.collect()} == dict.fromkeys(range(1, 201), 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_near_copies(clean, clean_rows: list[tuple], messy, empty) -> None:  # noqa: ANN001
     kept = {r.doc_id for r in neardup.keep_one(clean).collect()}
     texts = {d: t for d, t, _ in clean_rows}
